@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storyloom.llm.storage import ID, RID, TEXT, keyed, same_key, stored
+from storyloom.llm.storage import ID, RID, TEXT, kept_rows, keyed, same_key, stored
 
 
 def _sorted_names(keys: DataFrame, cols: list[str], name: str) -> DataFrame:
@@ -91,8 +91,4 @@ def decide(rows: DataFrame, block_bytes: int = 4096, block_hash=_block_hash) ->
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one of equal texts, with its columns."""
-    own = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = keyed(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`") for c in own)).alias("_own")), "_i", "_t", ("_own",))
-    stay = decide(rows).filter("kept").select(RID)
-    back = {id_col: F.col(ID).alias(id_col), text_col: F.col(TEXT).alias(text_col)} | {c: F.col(f"_own.`{c}`").alias(c) for c in own}
-    return rows.join(stay, RID, "left_semi").select(*(back[c] for c in docs.columns))
+    return kept_rows(docs, lambda rows: decide(rows).filter("kept").select(RID), id_col, text_col)

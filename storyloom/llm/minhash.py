@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm import textkit as T
-from storyloom.llm.storage import ID, RID, TEXT, keyed, same_key, stored, with_ids
+from storyloom.llm.storage import ID, RID, TEXT, kept_rows, keyed, same_key, stored, with_ids
 
 _RNG = np.random.default_rng(4021)
 
@@ -181,6 +181,11 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     return finish(classed.join(found, "node", "left").select(RID, F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component")), rows)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with one row of each component (the one with the smallest id), with its columns; texts without words stay."""
+    return kept_rows(docs, lambda rows: link(rows, **how).filter("kept").select(RID), id_col, text_col)
+
+
 def finish(out: DataFrame, rows: DataFrame) -> DataFrame:
     """Adds _id, component_id (the id of the component's first row) and kept."""
     out = with_ids(out.withColumn("kept", F.col(RID) == F.col("component")), rows)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.llm import textkit as T
-from storyloom.llm.storage import ID, RID, TEXT, keyed, stored
+from storyloom.llm.storage import ID, RID, TEXT, keyed, stored, with_own
 
 EPS = 1e-9
 
@@ -104,6 +104,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return mix_rows(kept, weights, total_share, most, leaf_rows, fan_in, seed)
 
 
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs with each row as often as the mix takes it, with its columns."""
+    rows, back = with_own(docs, id_col, text_col, (F.col(source_col).cast("string").alias("source"),))
+    taken = mix_rows(rows, **how).filter("copies > 0").select(RID, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.join(taken, RID).select(*back)
+
+
 def mix_rows(kept: DataFrame, weights=(5, 2, 1), total_share=1.5, most=2.0, leaf_rows=4096, fan_in=64, seed=7) -> DataFrame:
     sizes = stored(word_counts(kept), "sizes")
     goal = stored(targets(sizes, weights, total_share, most), "targets")

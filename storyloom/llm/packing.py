@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
-from storyloom.llm.storage import RID, TEXT, keyed, stored, with_ids
+from storyloom.llm.storage import ID, TEXT, stored
 
 #: GPT-2's split pattern (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -95,7 +96,8 @@ def plan(counts: dict[int, int], window: int) -> tuple[list[tuple[int, int, int,
 
 
 def pieces(rows: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0, exact_path: str | None = None) -> DataFrame:
-    """For rows (_rid, _text): _rid, start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens.
+    """For rows (_id, _text): _id, start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens, salt (the
+    piece's number in its task, which tells equal rows apart).
 
     ranks_path: the vocabulary in tiktoken's form, which gives the same ids several times faster; exact_path: the same
     vocabulary in tokenizers' form, for texts that hold special tokens or that the fast path refuses.
@@ -109,9 +111,10 @@ def pieces(rows: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast, exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), None
+        made = 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            out: list[list] = [[] for _ in range(6)]
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 ids = None
                 if exact_path is None or "<|" not in text:
@@ -130,25 +133,27 @@ def pieces(rows: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0
                 raw = np.array(ids, "<u4").tobytes()
                 for at in range(0, len(ids), window):
                     part = raw[4 * at : 4 * (at + window)]
-                    for column, x in zip(out, (rid, at, len(part) // 4, zlib.crc32(part), len(ids)), strict=True):
+                    for column, x in zip(out, (own, at, len(part) // 4, zlib.crc32(part), len(ids), made), strict=True):
                         column.append(x)
+                    made += 1
                 if len(out[0]) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
-                    out = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names)
+                    out = [[] for _ in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names)
 
-    names = [RID, "start", "length", "ids_crc32", "doc_tokens"]
-    return rows.select(RID, TEXT).mapInArrow(cut, ", ".join(f"{c} long" for c in names))
+    names = [ID, "start", "length", "ids_crc32", "doc_tokens", "salt"]
+    rows = rows.select(ID, TEXT)
+    return rows.mapInArrow(cut, f"{ID} {rows.schema[ID].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
 def ranked(parts: DataFrame, rows_per_group: int = 4096) -> DataFrame:
     """parts with rank: its place among those of equal length. Each length is dealt into hash groups of about
     rows_per_group rows, so that a frequent length does not meet in one task."""
     groups = max(1, parts.count() // rows_per_group)
-    dealt = parts.withColumn("g", F.pmod(F.xxhash64(RID, "start"), F.lit(groups)).cast("int"))
+    dealt = parts.withColumn("g", F.pmod(F.xxhash64(ID, "start", "salt"), F.lit(groups)).cast("int"))
     sizes = dealt.groupBy("length", "g").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1))).select("length", "g", F.coalesce("before", F.lit(0)).alias("before"))
-    inside = Window.partitionBy("length", "g").orderBy(RID, "start")
+    inside = Window.partitionBy("length", "g").orderBy(ID, "start", "salt")
     return dealt.withColumn("i", F.row_number().over(inside) - 1).join(before, ["length", "g"]).withColumn("rank", F.col("before") + F.col("i")).drop("g", "i", "before")
 
 
@@ -156,9 +161,9 @@ def pack(docs: DataFrame, ranks_path: str, exact_path: str | None = None, window
     """One row per piece: _id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each document is its ids and then end_id; null and empty texts are the end alone. Sequences are gapless from offset
-    0. Equal rows are packed apart. An empty table gives no rows.
+    0. Null and repeated ids and equal rows are packed like all others, each row apart. An empty table gives no rows.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
     parts = stored(pieces(rows, ranks_path, window, end_id, exact_path), "pieces")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, made = plan({k: n for k, n in counts.items() if k < window}, window)
@@ -173,6 +178,6 @@ def pack(docs: DataFrame, ranks_path: str, exact_path: str | None = None, window
             cols = [batch.column(batch.schema.get_field_index(c)) for c in out]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(table[at, 3] + rank - table[at, 1]), pa.array(table[at, 4])], [*out, "sequence_id", "offset"])
 
-    out = [RID, "start", "length", "ids_crc32", "doc_tokens"]
-    placed = ranked(parts).mapInArrow(place, ", ".join(f"{c} long" for c in [*out, "sequence_id", "offset"]))
-    return with_ids(placed, rows)
+    out = [ID, "start", "length", "ids_crc32", "doc_tokens"]
+    kinds = [parts.schema[c] for c in out] + [S.StructField(c, S.LongType()) for c in ("sequence_id", "offset")]
+    return ranked(parts).mapInArrow(place, S.StructType(kinds))

@@ -57,3 +57,18 @@ def with_ids(out: DataFrame, rows: DataFrame) -> DataFrame:
     if same_key(rows):
         return out.withColumn(ID, F.col(RID).cast(rows.schema[ID].dataType))
     return out.join(rows.select(RID, ID), RID)
+
+
+def with_own(docs: DataFrame, id_col: str, text_col: str, extra: tuple = ()) -> tuple[DataFrame, list]:
+    """keyed() rows that hold all columns of docs in one struct, whatever their names, and the columns to select back."""
+    own = [c for c in docs.columns if c not in (id_col, text_col)]
+    plain = docs.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{text_col}`").alias("_t"), F.struct(F.lit(0).alias("_0"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own))).alias("_own"), *extra)
+    rows = keyed(plain, "_i", "_t", ("_own", *(plain.columns[3:])))
+    back = {id_col: F.col(ID).alias(id_col), text_col: F.col(TEXT).alias(text_col)} | {c: F.col(f"_own.c{k}").alias(c) for k, c in enumerate(own)}
+    return rows, [back[c] for c in docs.columns]
+
+
+def kept_rows(docs: DataFrame, choose, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs, with its columns, whose _rid is in choose(rows)."""
+    rows, back = with_own(docs, id_col, text_col)
+    return rows.join(choose(rows), RID, "left_semi").select(*back)
