@@ -29,12 +29,16 @@ from storyloom.llm.storage import RID, TEXT, keyed, stored, with_ids
 from storyloom.llm.substring import span_keys
 
 
+#: Bytes of a step over byte windows, which need about 100 bytes of memory for each.
+STEP = 1 << 19
+
+
 def _anchors(data: np.ndarray, bounds: np.ndarray, gram: int, length: int) -> list[np.ndarray]:
     """owned() for texts of bytes, with a hash of each region; a long text goes in steps."""
-    if len(bounds) > 2 or len(data) <= 2 * T.SLICE:
+    if len(bounds) > 2 or len(data) <= 2 * STEP:
         steps = [(0, len(data))]
     else:
-        steps = [(a, min(len(data), a + T.SLICE + length - 1)) for a in range(0, len(data) - length + 1, T.SLICE)]
+        steps = [(a, min(len(data), a + STEP + length - 1)) for a in range(0, len(data) - length + 1, STEP)]
     out = []
     for a, b in steps:
         code = T.CODE[data[a:b]]
@@ -49,7 +53,7 @@ def seeds(rows: DataFrame, gram: int, length: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, s, e, _ = T.text_bytes(batch.column(1))
-            for i, j in T.slices(s, e):
+            for i, j in T.slices(s, e, STEP):
                 sizes = e[i:j] - s[i:j]
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 data = raw[s[i] : e[j - 1]] if int(e[j - 1] - s[i]) == int(bounds[-1]) else np.concatenate([raw[a:b] for a, b in zip(s[i:j], e[i:j], strict=True)])
@@ -101,9 +105,9 @@ def sort_shard(table: pa.Table, length: int) -> pa.Table:
     raw, s, e, _ = T.text_bytes(table["bytes"])
     size = e - s
     begin = np.cumsum(size + 1) - size
-    text = np.zeros(int((size + 1).sum()) + 1, np.int64)
+    text = np.zeros(int((size + 1).sum()) + 1, np.uint8)
     for a, b, d in zip(s.tolist(), e.tolist(), begin.tolist(), strict=True):
-        text[d : d + b - a] = raw[a:b].astype(np.int64) + 1
+        text[d : d + b - a] = raw[a:b] + 1
     owned_ = size - length + 1
     bounds = np.concatenate([[0], np.cumsum(owned_)])
     starts = np.repeat(begin - bounds[:-1], owned_) + np.arange(int(bounds[-1]))
@@ -129,6 +133,7 @@ def _by_window(parts: DataFrame, length: int) -> DataFrame:
 
     rows = stored(parts.select("shard", "anchor", "context", "n", "bytes").mapInArrow(hashes, "anchor long, context long, n long, k int, one long, two long"), "windows")
     twice = rows.groupBy("one", "two").agg(F.sum("n").alias("m")).filter("m > 1").select("one", "two")
+    twice = stored(twice, "twice")
     hit = rows.join(twice, ["one", "two"], "left_semi")
     return hit.groupBy("anchor", "context").agg(F.flatten(F.collect_list(F.array("k", F.col("k") + 1))).alias("runs"))
 
@@ -156,17 +161,19 @@ def removed(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, f"{RID} long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, shard_bytes: int = 1_500_000, crowded: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 32, shard_bytes: int = 500_000, crowded: int = 8000) -> DataFrame:
     """One row per row of docs: _rid, _id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of `length` bytes over it starts anywhere else too, the same text included. Null texts are
     empty; repeated ids are rows of their own, so a repeated row is removed whole if it has `length` bytes; an empty
-    table gives no rows. crowded: anchors with more distinct regions are dealt by window.
+    table gives no rows. crowded: anchors with more distinct regions are dealt by window; that
+    many regions are up to 3 MB, which the sort takes in about 200 MB of memory.
     """
     rows = keyed(docs, id_col, text_col)
     found = stored(seeds(rows, gram, length), "seeds")
     places = found.select(RID, F.explode(F.arrays_zip("anchor", "context", "first", "size")).alias("x")).select(RID, "x.*")
     known = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    known = stored(known, "known")  # a plain exchange on both sides lets the join split a hot anchor
     shared = stored(places.join(known, "anchor"), "shared")
     classes = stored(shared.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(RID, "first", "size")).alias("lead")), "classes")
     hot = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > crowded)
