@@ -79,6 +79,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def decide(rows: DataFrame, block_bytes: int = 4096, block_hash=_block_hash) -> DataFrame:
     named = stored(identities(rows, block_bytes, block_hash), "identities")
     groups = named.groupBy("n_bytes", "name").agg(F.max(RID).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(groups, "groups")  # joins of plain exchanges can split a hot key
     ruled = named.join(groups, ["n_bytes", "name"]).select(RID, "keep", "group_size")
     digests = rows.select(RID, ID, F.sha2(F.coalesce(F.col(TEXT), F.lit("")).cast("binary"), 256).alias("text_sha256"))
     out = digests.join(ruled, RID)

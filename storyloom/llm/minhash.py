@@ -153,6 +153,7 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     firsts = signed.join(classes.select(F.col("first").alias(RID)), RID, "left_semi")
     dealt = firsts.select(RID, "n", F.explode("bands").alias("key"))
     roots = dealt.groupBy("key").agg(F.min(RID).alias("root"), F.max(RID).alias("last")).filter("root < last").select("key", "root")
+    roots = stored(roots, "roots")  # joins of plain exchanges can split a hot key
     buckets = stored(dealt.join(roots, "key"), "buckets")
     busy = buckets.select(RID).distinct()
     sets = stored(full_sets(rows.join(busy, RID, "left_semi"), shingle), "sets")
@@ -164,7 +165,8 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     found = stored(components(edges), "components")
     inside = buckets.join(found.select(F.col("node").alias(RID), "component"), RID, "left").withColumn("component", F.coalesce("component", RID))
     split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    inside = stored(inside.join(split.select("key"), "key", "left_semi"), "split")
+    split = stored(split.select("key"), "split_keys")
+    inside = stored(inside.join(split, "key", "left_semi"), "split")
     lead = inside.filter(F.col(RID) == F.col("root")).select("key", F.col("component").alias("main"))
     outer = inside.join(lead, "key").filter("component <> main").select("key", F.col(RID).alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     other = inside.filter(F.col(RID) != F.col("root")).select("key", F.col(RID).alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))

@@ -109,14 +109,16 @@ def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """_rid, a, b: word spans of rows that a row with a smaller key has too; found: the stored seeds()."""
     places = found.select(RID, F.explode(F.arrays_zip("anchor", "context", "first", "last")).alias("x")).select(RID, "x.*")
     known = places.groupBy("anchor").agg(F.min(RID).alias("low"), F.max(RID).alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("low < high")
-    shared = stored(places.join(known.select("anchor", "low", (F.col("c1") == F.col("c2")).alias("alone")), "anchor"), "shared")
-    classes = shared.filter("not alone").groupBy("anchor", "context").agg(F.min(RID).alias("leader"))
+    known = stored(known.select("anchor", "low", (F.col("c1") == F.col("c2")).alias("alone")), "known")  # joins of plain exchanges can split a hot key
+    shared = stored(places.join(known, "anchor"), "shared")
+    classes = stored(shared.filter("not alone").groupBy("anchor", "context").agg(F.min(RID).alias("leader")), "classes")
     several = stored(shared.filter("not alone").join(classes, ["anchor", "context"]), "several")
     whole = shared.filter(F.col("alone") & (F.col(RID) > F.col("low"))).select(RID, "first", "last").unionByName(several.filter(F.col(RID) > F.col("leader")).select(RID, "first", "last"))
     spans = whole.select(RID, F.col("first").alias("a"), (F.col("last") + window).alias("b"))
     open_ = several.filter(F.col(RID) == F.col("leader")).groupBy(RID).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
     split = stored(extended(rows.select(RID, TEXT).join(open_, RID).select(RID, TEXT, "first", "last"), window), "windows")
     firsts = split.groupBy("one", "two").agg(F.min(RID).alias("low"), F.max(RID).alias("high")).filter("low < high").select("one", "two", "low")
+    firsts = stored(firsts, "firsts")
     parts = split.join(firsts, ["one", "two"]).filter(F.col(RID) > F.col("low")).select(RID, F.col("at").alias("a"), (F.col("at") + window).alias("b"))
     return spans.unionByName(parts)
 
