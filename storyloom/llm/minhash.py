@@ -5,9 +5,10 @@
 2. Bands of minima are bucket keys. Each row of a bucket is paired with the bucket's first row only (a star, not all
    pairs), and the pairs are confirmed on the full sets.
 3. Large-star and small-star rounds make components of the confirmed links.
-4. Most buckets are one component now. In those that are not, only the rows outside the component of the first row are
-   paired with the rows of other components; the pairs' signatures are compared, then the full sets. So a link between
-   two different texts that share a bucket is never lost, and a large group of copies never costs its square.
+4. Most buckets are one component now. The rows of those that are not are compared once more, across components only: a
+   pair must share one of the rarest shingles of both sets, which every similar pair does (`rare_pairs`); then the
+   signatures and the full sets are compared. So a link between two different texts that share a bucket is never lost,
+   and neither a group of copies nor a passage that many texts share costs its square.
 
 With 32 bands of 4 minima, two sets of similarity 0.8 share no bucket with a chance of 5e-8.
 """
@@ -101,8 +102,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
-def alike(pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b, low_a, low_b) of which a share of at least `least` of the minima agrees."""
+def alike(pairs: DataFrame, low: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of which a share of at least `least` of the minima (low: _rid, low) agrees."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,9 +112,48 @@ def alike(pairs: DataFrame, least: float) -> DataFrame:
                 keep = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
+    pairs = pairs.join(low.select(F.col(RID).alias("b"), F.col("low").alias("low_b")), "b").join(low.select(F.col(RID).alias("a"), F.col("low").alias("low_a")), "a")
     return pairs.select("a", "b", "low_a", "low_b").mapInArrow(check, "a long, b long")
 
 
+def rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of rows (_rid, n, component) of different components that share one of the rarest shingles of both,
+    with their sizes na and nb.
+
+    If two sets are similar enough, they share percent of the larger one's shingles at least, and so one of the rarest
+    n - ceil(percent * n) + 1 of each, whatever the order of shingles. With the rarest first, sets that share a frequent
+    passage only, or that each differ from a group in shingles of their own, share none of these.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            sizes = [len(x) for x in parts]
+            rid = np.repeat(batch.column(0).to_numpy(), sizes)
+            token = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            for at in range(0, len(rid), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(rid[at : at + 100_000]), pa.array(token[at : at + 100_000])], [RID, "token"])
+
+    tokens = stored(sets.join(rows.select(RID), RID, "left_semi").mapInArrow(spread, f"{RID} long, token long"), "tokens")
+    often = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "often")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    shared = tokens.join(often, "token").groupBy(RID).agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("x"))
+    # The shingles that no other row has are the rarest; what they leave of the first ones is taken from the others.
+    left = shared.join(rows, RID).withColumn("left", first - (F.col("n") - F.size("x"))).filter("left > 0")
+    keys = left.select(RID, "n", "component", (F.col("n") - F.size("x")).alias("own"), F.posexplode(F.slice("x", F.lit(1), F.col("left").cast("int"))))
+    keys = stored(keys.select(RID, "n", "component", (F.col("own") + F.col("pos")).alias("before"), F.col("col.token").alias("token")), "rare")
+    lead = keys.groupBy("token").agg(F.min("component").alias("main"), F.max("component").alias("high")).filter("main < high")
+    lead = stored(lead.select("token", "main"), "lead")
+    inside = stored(keys.join(lead, "token"), "rare_split")
+    outer = inside.filter("component <> main").select("token", F.col(RID).alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("before").alias("bx"))
+    other = inside.select("token", F.col(RID).alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("before").alias("by"))
+    # If this is the first shingle that they share, they share no more than what follows it in either.
+    enough = (100 + percent) * F.least(F.col("nx") - F.col("bx"), F.col("ny") - F.col("by")) >= percent * (F.col("nx") + F.col("ny"))
+    pairs = outer.join(other, "token").filter((F.col("cx") != F.col("cy")) & enough)
+    x_first = F.col("x") < F.col("y")
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(x_first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(x_first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of the edges (a, b), by alternating large-star and small-star.
 
@@ -161,21 +201,18 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
     stars = buckets.filter(F.col(RID) != F.col("root")).select(F.col("root").alias("a"), F.col(RID).alias("b"), "n").distinct()
     stars = stars.join(sizes.select(F.col(RID).alias("a"), F.col("n").alias("m")), "a").filter(near(F.col("n"), F.col("m"))).select("a", "b")
+    low = signed.select(RID, "low")
+    least = similarity - 6 * (similarity * (1 - similarity) / (bands * per_band)) ** 0.5
+    stars = stored(alike(stars, low, least), "alike")
     edges = stored(confirmed(stars, sets, percent), "links")
     found = stored(components(edges), "components")
     inside = buckets.join(found.select(F.col("node").alias(RID), "component"), RID, "left").withColumn("component", F.coalesce("component", RID))
     split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     split = stored(split.select("key"), "split_keys")
     inside = stored(inside.join(split, "key", "left_semi"), "split")
-    lead = inside.filter(F.col(RID) == F.col("root")).select("key", F.col("component").alias("main"))
-    outer = inside.join(lead, "key").filter("component <> main").select("key", F.col(RID).alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    other = inside.filter(F.col(RID) != F.col("root")).select("key", F.col(RID).alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    cross = outer.join(other, "key").filter((F.col("cx") != F.col("cy")) & near(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    low = signed.select(RID, "low")
-    cross = cross.join(low.select(F.col(RID).alias("a"), F.col("low").alias("low_a")), "a").join(low.select(F.col(RID).alias("b"), F.col("low").alias("low_b")), "b")
-    k = bands * per_band
-    least = similarity - 6 * (similarity * (1 - similarity) / k) ** 0.5
-    cross = stored(alike(cross, least), "alike")
+    open_ = stored(inside.select(RID, "n", "component").distinct(), "open")
+    cross = rare_pairs(open_, sets, percent).filter(near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    cross = stored(alike(cross, low, least), "alike")
     more = stored(confirmed(cross, sets, percent), "links")
     if not more.isEmpty():
         found = stored(components(edges.unionByName(more)), "components")
