@@ -44,7 +44,7 @@ def seeds(rows: DataFrame, gram: int, window: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, s, e, _ = T.text_bytes(batch.column(1))
-            for i, j in T.slices(s, e):
+            for i, j in T.slices(s, e, T.SLICE // 2):
                 w = T.words(raw, s[i:j], e[i:j])
                 hashes, at, first, last = owned(w.hashes, w.bounds, gram, window)
                 context = span_keys(w.hashes, first, last + window) ^ T.mix((at - first).astype(T.U))
@@ -68,7 +68,7 @@ def extended(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             raw, s, e, _ = T.text_bytes(batch.column(1))
             firsts, lasts = batch.column(2), batch.column(3)
-            for i, j in T.slices(s, e):
+            for i, j in T.slices(s, e, T.SLICE // 2):
                 w = T.words(raw, s[i:j], e[i:j])
                 at = []
                 for k in range(i, j):

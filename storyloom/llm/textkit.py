@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of a slice of short texts, and of a step inside a long one.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
