@@ -141,7 +141,7 @@ def platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out=None, most: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out=None, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on up to `most` labelled rows (a bounded sample) that are not held out."""
     use = (lambda i: F.lit(True)) if held_out is None else (lambda i: ~held_out(i))
     return fit(labelled(docs, labels, label_col, use, most, id_col, text_col))

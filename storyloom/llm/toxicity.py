@@ -12,7 +12,6 @@ list. Only clauses with an insult or threat reach the machine; finding them is o
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,13 +112,15 @@ def word_key(words: list[bytes]) -> np.ndarray:
 
 
 class Lexicon:
-    """Word classes by hash, and word beginnings that count as insults."""
+    """Word classes by hash; hashes of more insults; hashes of word beginnings that count as insults, by length."""
 
-    def __init__(self, classes: dict[bytes, int], stems: list[bytes]):
-        keys = word_key(list(classes))
-        order = np.argsort(keys)
-        self.keys, self.kinds = keys[order], np.array(list(classes.values()), np.int8)[order] if classes else np.zeros(0, np.int8)
-        self.stems = {n: np.sort(word_key([x for x in stems if len(x) == n])) for n in sorted({len(x) for x in stems})}
+    def __init__(self, classes: dict[bytes, int], insults: np.ndarray | None = None, stems: dict[int, np.ndarray] | None = None):
+        insults = np.zeros(0, T.U) if insults is None else insults
+        keys = np.concatenate([word_key(list(classes)), insults])
+        kinds = np.concatenate([np.array(list(classes.values()), np.int8), np.full(len(insults), INSULT, np.int8)])
+        self.keys, first = np.unique(keys, return_index=True)
+        self.kinds = kinds[first]
+        self.stems = {n: np.sort(x) for n, x in sorted((stems or {}).items())}
 
     def classify(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         out = np.zeros(len(s), np.int8)
@@ -187,50 +188,55 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: Lex
 
 
 def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
-    """The fixed lists, and the words and beginnings that occur in toxic texts almost only."""
+    """The fixed lists, and the words and beginnings that occur in toxic texts almost only.
+
+    Items are told by hash. Among all items as frequent, fewer than 0.05 of those taken would come from toxic texts alone
+    if labels were dealt at random. Items are taken by what they explain: a text counts half as much with each item taken
+    that it holds, so the rare words of a toxic text with many copies, which its insults explain already, are left.
+    """
     classes = {x.encode(): kind for kind, xs in ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for x in xs.split()}
-    seen = []
-    for text in texts:
-        raw, s, e, _ = T.text_bytes(pa.array([text], pa.string()))
-        w = T.words(raw, s, e, hashed=False)
+    if not len(texts):
+        return Lexicon(classes)
+    raw, s, e, _ = T.text_bytes(pa.array(texts, pa.string()))
+    found: dict[int, list] = {n: [] for n in (0, *STEMS)}
+    for i, j in T.slices(s, e):
+        w = T.words(raw, s[i:j], e[i:j], hashed=False)
         a, b = cores(w)
-        data = T.LOWER[w.data].tobytes()
-        seen.append({data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)})
-    rate = float(toxic.mean()) if len(toxic) else 0.5
-
-    frequent, counts = Counter(), {}
-    items = [found | {x[:n] + b"*" for x in found for n in STEMS if len(x) > n} for found in seen]
-    for found, y in zip(items, toxic, strict=True):
-        for x in found:
-            counts.setdefault(x, [0, 0])[int(not y)] += 1
-    frequent = Counter(min(sum(n), 200) for n in counts.values())
-    as_many = np.cumsum([frequent[k] for k in range(200, -1, -1)])[::-1]
-    # Among all items as frequent, fewer than 0.05 would come from toxic texts alone if labels were dealt at random.
-    least = next((k for k in range(3, 201) if as_many[k] * rate**k < 0.05), 201)
-    telling = {x: n[0] for x, n in counts.items() if n[0] >= least and n[0] >= 20 * n[1] and len(x) > 3}
-    holders: dict[bytes, list[int]] = {x: [] for x in telling}
-    for i, (found, y) in enumerate(zip(items, toxic, strict=True)):
-        for x in found & telling.keys() if y else ():
-            holders[x].append(i)
-    # Items are taken by what they explain: a text counts half as much with each item taken that it holds, so the rare
-    # words of a toxic text with many copies, which its insults explain already, are left.
-    weight, heap = np.ones(len(seen)), [(-float(len(v)), len(x), x) for x, v in holders.items()]
+        doc = np.repeat(np.arange(i, j), np.diff(w.bounds))
+        for n, pairs in found.items():
+            use = b - a > (n or 2)
+            h = T.span_hashes(w.data, a[use], a[use] + n if n else b[use], fold=True)
+            once = np.unique(T.mix(h + doc[use].astype(T.U) * T.U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
+            pairs.append((doc[use][once], h[once]))
+    rate = float(toxic.mean())
+    totals, items = np.zeros(202), []
+    for n, pairs in found.items():
+        doc, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        distinct, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+        yes = np.bincount(inverse, toxic[doc], len(distinct))
+        totals += np.bincount(np.minimum(count, 201), minlength=202)
+        good = (yes >= 3) & (yes >= 20 * (count - yes))
+        at = np.flatnonzero(good[inverse] & (toxic[doc] > 0))
+        at = at[np.argsort(inverse[at], kind="stable")]
+        names, cut = np.unique(inverse[at], return_index=True)
+        items += [(n, distinct[name], held) for name, held in zip(names, np.split(doc[at], cut[1:]), strict=True)] if len(at) else []
+    as_many = np.cumsum(totals[::-1])[::-1]
+    least = next((k for k in range(3, 202) if as_many[k] * rate**k < 0.05), 202)
+    weight = np.ones(len(texts))
+    heap = [(-float(len(held)), n, k) for k, (n, _, held) in enumerate(items) if len(held) >= least]
     heapq.heapify(heap)
-    stems: list[bytes] = []
+    taken: dict[int, list] = {n: [] for n in found}
     while heap:
-        gain, size, x = heapq.heappop(heap)
-        now = float(weight[holders[x]].sum())
+        gain, n, k = heapq.heappop(heap)
+        now = float(weight[items[k][2]].sum())
         if now < least:
             continue
         if now < -gain - 1e-9:
-            heapq.heappush(heap, (-now, size, x))
+            heapq.heappush(heap, (-now, n, k))
             continue
-        weight[holders[x]] /= 2
-        if x.endswith(b"*"):
-            stems.append(x[:-1])
-        else:
-            classes.setdefault(x, INSULT)
-    return Lexicon(classes, stems)
+        weight[items[k][2]] /= 2
+        taken[n].append(items[k][1])
+    return Lexicon(classes, np.array(taken[0], T.U), {n: np.array(x, T.U) for n, x in taken.items() if n and x})
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-6, steps: int = 3000) -> tuple[np.ndarray, float]:
@@ -258,14 +264,14 @@ def fit(rows: list[tuple[str, object]]) -> Model:
     """A model from texts and labels; without toxic rows the fixed lists and fixed weights decide."""
     texts, y = [t for t, _ in rows], np.array([int(v) for _, v in rows], float)
     if not len(y) or y.min() == y.max():
-        return Model(learn_lexicon([], np.zeros(0)), np.array([1.0, 1.5, 2.0, 3.0, 0.2, 0.2, 1.0, 1.0]), -3.0)
+        return Model(learn_lexicon([], y), np.array([1.0, 1.5, 2.0, 3.0, 0.2, 0.2, 1.0, 1.0]), -3.0)
     lexicon = learn_lexicon(texts, y)
     raw, s, e, _ = T.text_bytes(pa.array(texts, pa.string()))
     x = np.concatenate([features(raw, s[i:j], e[i:j], lexicon) for i, j in T.slices(s, e)])
     return Model(lexicon, *fit_logistic(x, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, most: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on up to `most` labelled rows (a bounded sample) that are not held out."""
     use = (lambda i: F.lit(True)) if held_out is None else (lambda i: ~held_out(i))
     return fit(labelled(docs, labels, label_col, use, most, id_col, text_col))
