@@ -198,21 +198,21 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
     if not len(texts):
         return Lexicon(classes)
     raw, s, e, _ = T.text_bytes(pa.array(texts, pa.string()))
-    found: dict[int, list] = {n: [] for n in (0, *STEMS)}
-    for i, j in T.slices(s, e):
-        w = T.words(raw, s[i:j], e[i:j], hashed=False)
-        a, b = cores(w)
-        doc = np.repeat(np.arange(i, j), np.diff(w.bounds))
-        for n, pairs in found.items():
-            use = b - a > (n or 2)
-            h = T.span_hashes(w.data, a[use], a[use] + n if n else b[use], fold=True)
-            once = np.unique(T.mix(h + doc[use].astype(T.U) * T.U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
-            pairs.append((doc[use][once], h[once]))
     rate = float(toxic.mean())
     totals, items = np.zeros(202), []
-    for n, pairs in found.items():
-        doc, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
-        distinct, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+    for n in (0, *STEMS):  # one kind of item at a time, to bound the driver's memory
+        docs, hashes = [], []
+        for i, j in T.slices(s, e):
+            w = T.words(raw, s[i:j], e[i:j], hashed=False)
+            a, b = cores(w)
+            use = b - a > (n or 2)
+            doc = np.repeat(np.arange(i, j, dtype=np.int32), np.diff(w.bounds))[use]
+            h = T.span_hashes(w.data, a[use], a[use] + n if n else b[use], fold=True)
+            once = np.unique(T.mix(h + doc.astype(T.U) * T.U(0xC2B2AE3D27D4EB4F)), return_index=True)[1]
+            docs.append(doc[once])
+            hashes.append(h[once])
+        doc = np.concatenate(docs)
+        distinct, inverse, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
         yes = np.bincount(inverse, toxic[doc], len(distinct))
         totals += np.bincount(np.minimum(count, 201), minlength=202)
         good = (yes >= 3) & (yes >= 20 * (count - yes))
@@ -225,7 +225,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray) -> Lexicon:
     weight = np.ones(len(texts))
     heap = [(-float(len(held)), n, k) for k, (n, _, held) in enumerate(items) if len(held) >= least]
     heapq.heapify(heap)
-    taken: dict[int, list] = {n: [] for n in found}
+    taken: dict[int, list] = {n: [] for n in (0, *STEMS)}
     while heap:
         gain, n, k = heapq.heappop(heap)
         now = float(weight[items[k][2]].sum())
@@ -271,7 +271,7 @@ def fit(rows: list[tuple[str, object]]) -> Model:
     return Model(lexicon, *fit_logistic(x, y))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on up to `most` labelled rows (a bounded sample) that are not held out."""
     use = (lambda i: F.lit(True)) if held_out is None else (lambda i: ~held_out(i))
     return fit(labelled(docs, labels, label_col, use, most, id_col, text_col))
