@@ -43,7 +43,7 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, shingle:
 
 
 def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
-    """For rows (_rid, _text): _rid, n, two keys of the whole set, the low 16 bits of each minimum, the band keys."""
+    """For rows (_rid, _text): _rid, n, two keys of the whole set, 16 bits of each minimum, the band keys."""
     k = bands * per_band
     mul, add = (_RNG.integers(1, 1 << 63, k, dtype=np.int64).astype(T.U) * T.U(2) + T.U(1))[:, None], _RNG.integers(1, 1 << 63, k, dtype=np.int64).astype(T.U)[:, None]
     salt = np.arange(bands, dtype=T.U) * T.U(0x9E3779B97F4A7C15)
@@ -60,16 +60,16 @@ def signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> Data
                 minima = np.full(k, np.iinfo(T.U).max, T.U)
                 for at in range(0, len(x), 512):
                     np.minimum(minima, (x[None, at : at + 512] * mul + add).min(axis=1), out=minima)
-                low.append((minima >> T.U(40)).astype(np.uint16).tobytes())
+                low.append((minima >> T.U(40)).astype(np.uint16).view(np.int16))
                 keys.append(T.mix(T.windows(minima, per_band)[::per_band] + salt).view(np.int64) if len(x) else np.zeros(0, np.int64))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(size, pa.int64()), pa.array(np.array(key1, T.U).view(np.int64)), pa.array(np.array(key2, T.U).view(np.int64)),
-                pa.array(low, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(low) + 1, dtype=np.int32) * k), pa.array(np.concatenate(low) if low else np.zeros(0, np.int16))), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
             ], [RID, "n", "key1", "key2", "low", "bands"])
 
-    return rows.select(RID, TEXT).mapInArrow(sign, f"{RID} long, n long, key1 long, key2 long, low binary, bands array<long>")
+    return rows.select(RID, TEXT).mapInArrow(sign, f"{RID} long, n long, key1 long, key2 long, low array<short>, bands array<long>")
 
 
 def full_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -108,7 +108,7 @@ def alike(pairs: DataFrame, low: DataFrame, least: float) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
+                x, y = (batch.column(i).flatten().to_numpy().reshape(batch.num_rows, -1) for i in (2, 3))
                 keep = pa.array((x == y).mean(axis=1) >= least)
                 yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:2]], ["a", "b"])
 
@@ -116,9 +116,9 @@ def alike(pairs: DataFrame, low: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "low_a", "low_b").mapInArrow(check, "a long, b long")
 
 
-def rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of rows (_rid, n, component) of different components that share one of the rarest shingles of both,
-    with their sizes na and nb.
+def rare_pairs(rows: DataFrame, sets: DataFrame, low: DataFrame, percent: int, least: float) -> DataFrame:
+    """Pairs a < b of rows (_rid, n, component) of different components that share one of the rarest shingles of both and
+    of whose minima (low: _rid, low) a share of at least `least` agrees.
 
     If two sets are similar enough, they share percent of the larger one's shingles at least, and so one of the rarest
     n - ceil(percent * n) + 1 of each, whatever the order of shingles. With the rarest first, sets that share a frequent
@@ -144,14 +144,17 @@ def rare_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     keys = stored(keys.select(RID, "n", "component", (F.col("own") + F.col("pos")).alias("before"), F.col("col.token").alias("token")), "rare")
     lead = keys.groupBy("token").agg(F.min("component").alias("main"), F.max("component").alias("high")).filter("main < high")
     lead = stored(lead.select("token", "main"), "lead")
-    inside = stored(keys.join(lead, "token"), "rare_split")
-    outer = inside.filter("component <> main").select("token", F.col(RID).alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("before").alias("bx"))
-    other = inside.select("token", F.col(RID).alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("before").alias("by"))
+    inside = stored(keys.join(lead, "token").join(low, RID), "rare_split")
+    side = lambda x: [F.col(c).alias(c + x) for c in (RID, "n", "component", "before", "low")]
+    outer, other = inside.filter("component <> main").select("token", *side("x")), inside.select("token", *side("y"))
+    both = lambda c: (F.col(c + "x"), F.col(c + "y"))
+    (nx, ny), (bx, by), (cx, cy), (lx, ly) = both("n"), both("before"), both("component"), both("low")
+    near = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
     # If this is the first shingle that they share, they share no more than what follows it in either.
-    enough = (100 + percent) * F.least(F.col("nx") - F.col("bx"), F.col("ny") - F.col("by")) >= percent * (F.col("nx") + F.col("ny"))
-    pairs = outer.join(other, "token").filter((F.col("cx") != F.col("cy")) & enough)
-    x_first = F.col("x") < F.col("y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(x_first, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(x_first, F.col("ny")).otherwise(F.col("nx")).alias("nb"))
+    enough = (100 + percent) * F.least(nx - bx, ny - by) >= percent * (nx + ny)
+    agree = F.size(F.filter(F.zip_with(lx, ly, lambda a, b: a == b), lambda x: x)) >= least * F.size(lx)
+    pairs = outer.join(other, (outer["token"] == other["token"]) & (cx != cy) & near & enough & agree)
+    return pairs.select(F.least(*both(RID)).alias("a"), F.greatest(*both(RID)).alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,8 +214,7 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     split = stored(split.select("key"), "split_keys")
     inside = stored(inside.join(split, "key", "left_semi"), "split")
     open_ = stored(inside.select(RID, "n", "component").distinct(), "open")
-    cross = rare_pairs(open_, sets, percent).filter(near(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    cross = stored(alike(cross, low, least), "alike")
+    cross = stored(rare_pairs(open_, sets, low, percent, least), "cross")
     more = stored(confirmed(cross, sets, percent), "links")
     if not more.isEmpty():
         found = stored(components(edges.unionByName(more)), "components")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from storyloom.llm.storage import ID, TEXT, stored
+from storyloom.llm.textkit import release
 
 #: GPT-2's split pattern (fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -113,6 +114,7 @@ def pieces(rows: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0
         fast, exact = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), None
         made = 0
         for batch in batches:
+            release()
             out: list[list] = [[] for _ in range(6)]
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
@@ -136,7 +138,7 @@ def pieces(rows: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0
                     for column, x in zip(out, (own, at, len(part) // 4, zlib.crc32(part), len(ids), made), strict=True):
                         column.append(x)
                     made += 1
-                if len(out[0]) >= 50_000:
+                if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names)
                     out = [[] for _ in range(6)]
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), *(pa.array(x, pa.int64()) for x in out[1:])], names)

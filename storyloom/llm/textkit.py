@@ -7,6 +7,7 @@ words. Work proceeds in slices of a few MB, so memory follows the slice and the
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -69,8 +70,18 @@ def windows(values: np.ndarray, width: int, base: int = 0xD6E8FEB86659FD93) -> n
     return mix(range_sums(values, at, at + width, base, pow(base, -1, 1 << 64)))
 
 
+def release() -> None:
+    """Gives memory of earlier batches back to the system, as Python workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a string column, the start and end of each text, and whether it is there (null: empty)."""
+    release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
