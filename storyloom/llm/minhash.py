@@ -2,8 +2,8 @@
 
 1. Each text's set of distinct word shingles (64-bit hashes) gives the minima of many universal hash functions. Equal
    sets are one class; only a class's first row goes on, so exact copies never meet in a bucket.
-2. Bands of minima are bucket keys. Each row of a bucket is paired with the bucket's first row only (a star, not all
-   pairs), and the pairs are confirmed on the full sets.
+2. Bands of minima are bucket keys. Each row of a bucket is paired with the bucket's first row only, by one of eight
+   random orders (a star, not all pairs), and the pairs are confirmed on the full sets.
 3. Large-star and small-star rounds make components of the confirmed links.
 4. Most buckets are one component now. The rows of those that are not are compared once more, across components only: a
    pair must share one of the rarest shingles of both sets, which every similar pair does (`rare_pairs`); then the
@@ -195,7 +195,9 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     classes = stored(signed.filter("n > 0").groupBy("n", "key1", "key2").agg(F.min(RID).alias("first")), "classes")
     firsts = signed.join(classes.select(F.col("first").alias(RID)), RID, "left_semi")
     dealt = firsts.select(RID, "n", F.explode("bands").alias("key"))
-    roots = dealt.groupBy("key").agg(F.min(RID).alias("root"), F.max(RID).alias("last")).filter("root < last").select("key", "root")
+    # A bucket's first row goes by one of eight random orders, so that a group of copies meets several of its members.
+    order = F.xxhash64(F.pmod(F.col("key"), F.lit(8)), RID)
+    roots = dealt.groupBy("key").agg(F.min_by(RID, order).alias("root"), F.min(RID).alias("low"), F.max(RID).alias("last")).filter("low < last").select("key", "root")
     roots = stored(roots, "roots")  # joins of plain exchanges can split a hot key
     buckets = stored(dealt.join(roots, "key"), "buckets")
     busy = buckets.select(RID).distinct()
