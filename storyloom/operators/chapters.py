@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import BARE_NUMBER, MAJOR, is_heading
+from storyloom.functions.text import BARE_NUMBER, MAJOR, clean_paragraph, is_heading
+
+# Second halves that keep the hyphen at a line's end, and first halves that keep it before "то".
+PARTICLES = "нибудь либо таки ка де с"
+PRONOUNS = "что кто как где когда куда откуда какой какая какое какие каким какую чей чья чьи почему зачем отчего чего кого кому чем ком сколько это тот та"
 
 
 def heading_chapters(paragraphs: DataFrame, front_chars: int = 200) -> DataFrame:
@@ -55,16 +59,72 @@ def body_sizes(lines: DataFrame) -> DataFrame:
     return w.groupBy("book").agg(F.max_by("size", F.struct("chars", -F.col("first"))).alias("body_size"))
 
 
-def line_paragraphs(lines: DataFrame) -> DataFrame:
-    """(book, page, pos, text, size, x0) to (book, paragraph, page, text): a line opens a paragraph if it is indented
-    against its page, if its size changes, or if the line before ended a sentence and was short; words cut at a line's
-    end are joined."""
+def page_lines(lines: DataFrame) -> DataFrame:
+    """(book, page, pos, text, size, x0, x1) with body_size, and against the body lines of its page whether a line is
+    short (ends 25 units or 8 % of the width before the right edge) or indented (starts 8 units behind the left one)."""
     page = Window.partitionBy("book", "page")
+    x = lines.join(body_sizes(lines), "book")
+    body = F.abs(F.col("size") - F.col("body_size")) <= 0.6
+    x = x.withColumn("left", F.min(F.when(body, F.col("x0"))).over(page)).withColumn("right", F.max(F.when(body, F.col("x1"))).over(page))
+    slack = F.greatest(F.lit(25.0), (F.col("right") - F.col("left")) * 0.08)
+    short, indented = F.col("x1") < F.col("right") - slack, F.col("x0") > F.col("left") + 8
+    return x.withColumn("short", F.coalesce(short, F.lit(False))).withColumn("indented", F.coalesce(indented, F.lit(False))).drop("left", "right")
+
+
+def join_lines(joined: Column) -> Column:
+    """Lines joined by U+001F as one text: a hyphen at a line's end goes, unless the next word is a particle."""
+    gap = r"[^\w\s\x1f]*"
+    kept = F.regexp_replace(joined, rf"(?iuU)(\w-)\x1f(?={gap}(?:{'|'.join(PARTICLES.split())}){gap}(?:[\s\x1f]|$))", "$1")
+    kept = F.regexp_replace(kept, rf"(?iuU)\b((?:{'|'.join(PRONOUNS.split())})-)\x1f(?={gap}то{gap}(?:[\s\x1f]|$))", "$1")
+    return F.btrim(F.translate(F.regexp_replace(kept, r"(?U)(\w)-\x1f", "$1"), "\x1f", " "))
+
+
+def line_paragraphs(lines: DataFrame) -> DataFrame:
+    """(book, page, pos, text, size, x0, x1) to (book, paragraph, page, text), across pages. A line opens a paragraph if
+    it or the line before is not of the body's size, if it starts a dialogue or is indented, if the line before is short
+    and ends a sentence or is a heading, or if it is short and a heading. The page is that of the first line."""
     order = Window.partitionBy("book").orderBy("page", "pos")
-    x = lines.withColumn("left", F.min("x0").over(page)).withColumn("wide", F.max(F.length("text")).over(page))
-    x = x.withColumn("short", F.length("text") < 0.8 * F.col("wide")).withColumn("ended", F.col("text").rlike(r'[.!?…:;»"”)]$'))
-    opens = F.lag("text").over(order).isNull() | (F.col("x0") > F.col("left") + 5) | (F.abs(F.col("size") - F.lag("size").over(order)) > 0.6) | (F.lag("ended").over(order) & F.lag("short").over(order))
+    text = F.col("text")
+    x = page_lines(lines).withColumn("odd", F.abs(F.col("size") - F.col("body_size")) > 0.6).withColumn("closed", F.col("short") & (text.rlike(r'[.!?…:;»"”)]$') | is_heading(text)))
+    before = lambda c: F.lag(c, 1, True).over(order)
+    opens = F.col("odd") | before("odd") | text.rlike(r"(?U)^\s*[—–-]\s") | F.col("indented") | before("closed") | (F.col("short") & is_heading(text))
     x = x.withColumn("paragraph", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     lists = x.groupBy("book", "paragraph").agg(F.min("page").alias("page"), F.array_sort(F.collect_list(F.struct("page", "pos", "text"))).alias("x"))
-    joined = F.aggregate("x", F.lit(""), lambda a, b: F.when(a == "", b["text"]).when(a.rlike(r"(?U)\w-$"), F.concat(F.regexp_replace(a, "-$", ""), b["text"])).otherwise(F.concat_ws(" ", a, b["text"])))
-    return lists.select("book", "paragraph", "page", joined.alias("text"))
+    out = lists.select("book", "paragraph", "page", join_lines(F.array_join(F.transform("x", lambda s: F.translate(s["text"], "\x1f", " ")), "\x1f")).alias("text"))
+    return out.filter("text <> ''")
+
+
+def finalize(chapters: DataFrame) -> DataFrame:
+    """(book, chapter, title, paragraph, text) cleaned: empty paragraphs and chapters go, both are numbered anew (from 0
+    and 1), a chapter without title takes the book's name."""
+    x = chapters.withColumn("text", clean_paragraph(F.col("text"))).filter("text <> ''")
+    title = F.coalesce(F.nullif(F.btrim("title"), F.lit("")), F.col("book").cast("string"))
+    number = F.dense_rank().over(Window.partitionBy("book").orderBy("chapter"))
+    place = F.row_number().over(Window.partitionBy("book", "chapter").orderBy("paragraph")) - 1
+    return x.select("book", number.alias("chapter"), title.alias("title"), place.alias("paragraph"), "text")
+
+
+def with_titles(chapters: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs (chapter, paragraph, text) with the titles of chapters (chapter, title) read first, as paragraph 0."""
+    titled = chapters.filter("title <> ''").select("chapter", F.lit(0).cast("long").alias("paragraph"), F.col("title").alias("text"))
+    moved = paragraphs.join(titled.select("chapter", F.lit(1).alias("by")), "chapter", "left")
+    return moved.select("chapter", (F.col("paragraph") + F.coalesce("by", F.lit(0))).cast("long").alias("paragraph"), "text").unionByName(titled)
+
+
+def selection(spec: str | None) -> list[tuple[int, int]]:
+    """Ranges of a selection like 1,3,5-7; none or an empty one selects everything."""
+    parts = [p.strip() for p in (spec or "").split(",") if p.strip()]
+    return [(int(a), int(b or a)) for a, _, b in (p.partition("-") for p in parts)]
+
+
+def selected(chapters: DataFrame, spec: str | None) -> DataFrame:
+    """The chapters of a selection; a number without a chapter is an error, which names the first ones."""
+    ranges = selection(spec)
+    if not ranges:
+        return chapters
+    spark = chapters.sparkSession
+    wanted = spark.createDataFrame(ranges, "a long, b long").select(F.explode(F.expr("CASE WHEN a <= b THEN sequence(a, b) ELSE array() END")).alias("chapter")).distinct()
+    unknown = [r["chapter"] for r in wanted.join(chapters, "chapter", "left_anti").orderBy("chapter").limit(5).collect()]
+    if unknown:
+        raise ValueError(f"no such chapters: {unknown}")
+    return chapters.join(F.broadcast(wanted), "chapter", "left_semi")

@@ -54,3 +54,28 @@ def recover(jobs: DataFrame) -> DataFrame:
     """Jobs that a restart found running or pending, as failed ones that can be resumed."""
     broken = F.col("status").isin("running", "pending")
     return jobs.withColumn("error", F.when(broken, "interrupted").otherwise(F.col("error"))).withColumn("status", F.when(broken, "failed").otherwise(F.col("status")))
+
+
+def valid_scripts(scripts: DataFrame, hashes: DataFrame, method: str, prompt_version: str) -> DataFrame:
+    """Stored scripts (chapter, source_hash, method, prompt_version) that still serve: the source is unchanged, a model's
+    labels are of the current prompt, and rules do not stand in where a model is asked for."""
+    current = scripts.join(hashes.select("chapter", "source_hash"), ["chapter", "source_hash"], "left_semi")
+    by_model = F.col("method") == "llm"
+    return current.filter(F.when(by_model, F.col("prompt_version") == prompt_version).otherwise(F.lit(method != "llm")))
+
+
+def to_analyze(hashes: DataFrame, scripts: DataFrame, method: str, prompt_version: str) -> DataFrame:
+    """The chapters without a valid script."""
+    return hashes.join(valid_scripts(scripts, hashes, method, prompt_version).select("chapter"), "chapter", "left_anti")
+
+
+def chunk_keys(spans: DataFrame, prompt_version: str, model: str) -> DataFrame:
+    """(chapter, chunk, idx, hint, text) to (chapter, chunk, key): the digest of prompt, model and spans in order."""
+    item = F.concat(F.col("idx").cast("string"), F.lit(":"), "hint", F.lit(":"), "text")
+    x = spans.groupBy("chapter", "chunk").agg(F.array_sort(F.collect_list(F.struct("idx", item.alias("t")))).alias("x"))
+    return x.select("chapter", "chunk", sha256_parts(F.lit(prompt_version), F.lit(model), F.array_join(F.transform("x", lambda s: s["t"]), "\x1f")).alias("key"))
+
+
+def stale_chunks(keys: DataFrame, cache: DataFrame) -> DataFrame:
+    """Chunks whose analysis is not cached under the same key."""
+    return keys.join(cache.select("chapter", "chunk", "key"), ["chapter", "chunk", "key"], "left_anti")

@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storyloom.functions.text import normalize_name, stems
+from storyloom.functions.names import contains_name, looks_like_name
+from storyloom.functions.text import name_tokens, normalize_name, stems
 
 
 def line_counts(segments: DataFrame, merged: DataFrame | None = None) -> DataFrame:
@@ -93,3 +94,70 @@ def observe(observations: DataFrame) -> DataFrame:
 
     book = observations.schema["book"].dataType.simpleString()
     return observations.groupBy("book").applyInPandas(fold, f"book {book}, id string, name string, aliases array<string>, gender string, seen long")
+
+
+def contained_names(characters: DataFrame, names: DataFrame) -> DataFrame:
+    """names (book, name) with the one character (book, id, name) whose words contain the name's or are contained in
+    them. Candidates share a word, so they come from an equi-join."""
+    words = lambda df: df.withColumn("word", F.explode(name_tokens(F.col("name"))))
+    pairs = words(names.select("book", "name")).join(words(characters.select("book", "id", F.col("name")).withColumnRenamed("name", "own").withColumn("name", F.col("own"))).drop("name"), ["book", "word"]).select("book", "name", "id", "own").distinct()
+    hits = pairs.filter(contains_name(F.col("name"), F.col("own")))
+    return hits.groupBy("book", "name").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").drop("n")
+
+
+def consolidate(characters: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """characters (book, id, name, gender, lines, first_chapter, voice_id, locked) and accepted pairs (book, ord, a, b)
+    to the characters that are left, with aliases, and merged (book, old, new).
+
+    Pairs are taken in order, each on the state that the earlier ones left. A proper name outlives a description, then
+    more lines, then the earlier chapter. Genders that contradict each other and two different locked voices refuse.
+    """
+    kind = characters.schema["book"].dataType.simpleString()
+    columns = ["book", "id", "name", "gender", "lines", "first_chapter", "voice_id", "locked"]
+
+    def fold(people_: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        people = {r["id"]: {**r, "aliases": [], "merged": None} for r in people_.to_dict("records")}
+
+        def end(i: str) -> str:
+            while people[i]["merged"] is not None:
+                i = people[i]["merged"]
+            return i
+
+        for r in pairs.sort_values("ord").itertuples():
+            if r.a not in people or r.b not in people:
+                continue
+            a, b = people[end(r.a)], people[end(r.b)]
+            if a is b or ("unknown" not in (a["gender"], b["gender"]) and a["gender"] != b["gender"]):
+                continue
+            if a["locked"] and b["locked"] and a["voice_id"] != b["voice_id"]:
+                continue
+            rank = lambda c: (bool(c["proper"]), c["lines"], -c["first_chapter"])
+            keep, gone = (a, b) if rank(a) >= rank(b) else (b, a)
+            known = {n.lower() for n in (keep["name"], *keep["aliases"])}
+            keep["aliases"] += [n for n in (gone["name"], *gone["aliases"]) if n.lower() not in known]
+            keep["gender"] = gone["gender"] if keep["gender"] == "unknown" else keep["gender"]
+            keep["lines"] += gone["lines"]
+            keep["first_chapter"] = min(x for x in (keep["first_chapter"], gone["first_chapter"]) if x) if keep["first_chapter"] or gone["first_chapter"] else 0
+            if (gone["locked"] and not keep["locked"]) or not keep["voice_id"]:
+                keep["voice_id"], keep["locked"] = gone["voice_id"], gone["locked"] or keep["locked"]
+            gone["merged"] = keep["id"]
+        rows = [{k: c[k] for k in (*columns, "aliases")} | {"new": end(i)} for i, c in people.items()]
+        return pd.DataFrame(rows, columns=[*columns, "aliases", "new"])
+
+    schema = f"book {kind}, id string, name string, gender string, lines long, first_chapter long, voice_id string, locked boolean, aliases array<string>, new string"
+    x = characters.select("book", F.col("id").cast("string").alias("id"), *columns[2:], looks_like_name(F.col("name")).alias("proper"))
+    pairs = verdicts.select(F.col("book").alias("of_book"), "ord", F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"))
+    done = x.groupBy("book").cogroup(pairs.groupBy("of_book")).applyInPandas(fold, schema)
+    return done.filter("id = new").drop("new"), done.filter("id <> new").select("book", F.col("id").alias("old"), "new")
+
+
+def rewrite_speakers(segments: DataFrame, merged: DataFrame) -> DataFrame:
+    """(book, type, speaker, ...) with the speakers of dialogue replaced by the characters they were merged into."""
+    x = segments.join(merged.select("book", F.col("old").alias("speaker"), "new"), ["book", "speaker"], "left")
+    return x.withColumn("speaker", F.when(F.col("type") == "dialogue", F.coalesce("new", "speaker")).otherwise(F.col("speaker"))).drop("new")
+
+
+def pin_voice(characters: DataFrame, pins: DataFrame) -> DataFrame:
+    """characters (book, id, voice_id, locked, ...) with the voices of pins (book, id, voice_id), locked."""
+    x = characters.join(pins.select("book", "id", F.col("voice_id").alias("pin")), ["book", "id"], "left")
+    return x.withColumn("locked", F.col("pin").isNotNull() | F.col("locked")).withColumn("voice_id", F.coalesce("pin", "voice_id")).drop("pin")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
 from storyloom.operators import casting, chapters, plan, registry, segment
+from storyloom.plans import production  # noqa: F401  (registers its queries)
 from storyloom.plans.queries import ORACLES, QUERIES
 from storyloom.sources import books
 
