@@ -149,11 +149,14 @@ def consolidated_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.consolidate(people, pairs)[0]
 
 
-@query("WITH " + _PEOPLE + r", w AS (SELECT book, id, trim(regexp_replace(lower(name), '[^\p{L}\p{N}_]+', ' ', 'g')) AS n FROM people), q AS (SELECT book, id, list_distinct(string_split(n, ' ')) AS t FROM w), a AS (SELECT book, name, list_distinct(string_split(trim(regexp_replace(lower(name), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ')) AS t FROM (SELECT DISTINCT book, string_split(name, ' ')[1] AS name FROM people)), h AS (SELECT a.book, a.name, q.id FROM a JOIN q ON q.book = a.book AND list_has_all(q.t, a.t) AND len(q.t) > len(a.t) WHERE len(list_filter(a.t, lambda x: length(x) >= 4)) > 0) SELECT book, name, min(id) AS id FROM h GROUP BY book, name HAVING count(DISTINCT id) = 1")
+_WORDS = r"list_distinct(string_split(trim(regexp_replace(lower(x), '[^\p{L}\p{N}_]+', ' ', 'g')), ' '))"
+
+
+@query("WITH " + _PEOPLE + ", q AS (SELECT book, id, " + _WORDS.replace("x)", "name || ' ' || id)", 1) + " AS t FROM people), a AS (SELECT DISTINCT book, name, " + _WORDS.replace("x)", "name)", 1) + " AS t FROM people), h AS (SELECT a.book, a.name, q.id FROM a JOIN q ON q.book = a.book AND list_has_all(q.t, a.t) AND len(q.t) > len(a.t) WHERE len(list_filter(a.t, lambda y: length(y) >= 4)) > 0) SELECT book, name, min(id) AS id FROM h GROUP BY book, name HAVING count(DISTINCT id) = 1")
 def contained_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short names that one longer name contains."""
     p = _people(spark, sf_dir)
-    return registry.contained_names(p, p.select("book", F.split("name", " ")[0].alias("name")).distinct())
+    return registry.contained_names(p.withColumn("name", F.concat_ws(" ", "name", F.col("id").cast("string"))), p.select("book", "name").distinct())
 
 
 _ASSEMBLED = _TIMED + """,
