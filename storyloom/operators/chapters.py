@@ -128,3 +128,28 @@ def selected(chapters: DataFrame, spec: str | None) -> DataFrame:
     if unknown:
         raise ValueError(f"no such chapters: {unknown}")
     return chapters.join(F.broadcast(wanted), "chapter", "left_semi")
+
+
+def bookmarked_paragraphs(paragraphs: DataFrame, marks: DataFrame, front_chars: int = 200) -> DataFrame:
+    """(book, page, pos, text) and bookmarks (book, ord, level, page, title) to (book, chapter, title, page, pos, text).
+
+    Only the top level of a book's bookmarks counts, and a book needs two. A chapter runs from its mark's page to the
+    next mark's, and holds one page at least, so two marks on a page both get it. A first paragraph that repeats the title
+    goes; what stands before the first mark is a chapter if it is longer than `front_chars`; chapters without text go.
+    """
+    book = Window.partitionBy("book")
+    top = marks.withColumn("top", F.min("level").over(book)).filter((F.col("level") == F.col("top")) & (F.col("page") > 0))
+    top = top.withColumn("n", F.count(F.lit(1)).over(book)).filter("n >= 2")
+    order = book.orderBy("ord")
+    top = top.withColumn("k", F.row_number().over(order)).withColumn("end", F.greatest(F.coalesce(F.lead("page").over(order), F.lit(2**31 - 1)), F.col("page") + 1))
+    front = top.filter("k = 1").select("book", F.lit(0).alias("k"), F.lit("Front matter").alias("title"), F.lit(-1).cast("long").alias("start"), F.col("page").cast("long").alias("end"))
+    ranges = top.select("book", "k", "title", F.col("page").cast("long").alias("start"), F.col("end").cast("long").alias("end")).unionByName(front)
+    x = paragraphs.select("book", "page", "pos", "text").join(ranges, "book").filter((F.col("page") >= F.col("start")) & (F.col("page") < F.col("end")))
+    same = lambda c: F.lower(clean_paragraph(F.col(c)))
+    first = F.struct("page", "pos", (same("text") == same("title")).alias("same"))
+    whole = x.groupBy("book", "k", "title").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    cut = F.col("first.same") & (F.col("k") > 0)
+    whole = whole.withColumn("cut", cut).filter((F.col("n") > F.col("cut").cast("int")) & ((F.col("k") > 0) | (F.col("chars") > front_chars)))
+    named = whole.select("book", "k", F.row_number().over(book.orderBy("k")).alias("chapter"), F.when(F.col("cut"), F.struct("first.page", "first.pos")).alias("gone"))
+    out = x.join(named, ["book", "k"]).filter(F.col("gone").isNull() | (F.struct("page", "pos") != F.col("gone")))
+    return out.select("book", "chapter", "title", "page", "pos", "text")

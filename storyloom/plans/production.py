@@ -262,3 +262,21 @@ def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = V.spans(spark, sf_dir)
     given = x.filter("idx % 3 = 0").select("chapter", "idx", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).withColumn("type", F.when(F.col("pos") == 0, "dialogue").otherwise("narration")).withColumn("speaker", F.when(F.col("pos") == 0, "c_label").otherwise("late"))
     return attribution.join_labels(x, given, ["chapter", "idx"]).select("chapter", "idx", "type", "speaker")
+
+
+@query(r"""WITH d AS (SELECT source AS book, doc_id + 1 AS page, string_split(text, chr(10)) AS s FROM documents),
+p AS (SELECT book, page, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS pos FROM d),
+t AS (SELECT book, page, CASE WHEN page % 14 = 0 THEN '  ' || s[1] ELSE 'Mark ' || page END AS title, row_number() OVER (PARTITION BY book ORDER BY page) AS k,
+  coalesce(lead(page) OVER (PARTITION BY book ORDER BY page), 2147483647) AS e, count(*) OVER (PARTITION BY book) AS n FROM d WHERE page % 7 = 0),
+r AS (SELECT book, k, title, page AS a, e FROM t WHERE n >= 2 UNION ALL SELECT book, 0, 'Front matter', -1, page FROM t WHERE n >= 2 AND k = 1),
+x AS (SELECT p.*, k, title, row_number() OVER (PARTITION BY p.book, k ORDER BY page, pos) AS o, count(*) OVER (PARTITION BY p.book, k) AS n, sum(length(text)) OVER (PARTITION BY p.book, k) AS chars
+  FROM p JOIN r ON r.book = p.book AND page >= a AND page < e),
+y AS (SELECT * FROM x WHERE NOT (k > 0 AND o = 1 AND lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) = lower(trim(regexp_replace(title, '\s+', ' ', 'g')))) AND (k > 0 OR chars > 200))
+SELECT book, dense_rank() OVER (PARTITION BY book ORDER BY k) AS chapter, title, page, pos, text FROM y""")
+def bookmarked_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks of two levels to chapters, with front matter and without repeated titles."""
+    docs = V.table(spark, sf_dir, "documents").select(F.col("source").alias("book"), (F.col("doc_id") + 1).alias("page"), F.split("text", "\n").alias("s"))
+    title = F.when(F.col("page") % 14 == 0, F.concat(F.lit("  "), F.col("s")[0])).otherwise(F.concat(F.lit("Mark "), F.col("page").cast("string")))
+    level = F.when(F.col("page") % 7 == 0, 1).otherwise(2)
+    marks = docs.filter("page % 7 = 0 OR page % 5 = 0").select("book", F.col("page").alias("ord"), level.alias("level"), "page", title.alias("title"))
+    return chapters.bookmarked_paragraphs(docs.select("book", "page", F.posexplode("s").alias("pos", "text")), marks)

@@ -138,3 +138,11 @@ def test_stream_counts_once(spark, tmp_path):
     for _ in range(2):
         counts.follow(spark, str(tmp_path / "in"), schema, ["k"], str(tmp_path / "out"))
     assert [tuple(r) for r in counts.totals(spark, ["k"], str(tmp_path / "out")).collect()] == [("a", 5)]
+
+
+def test_bookmarks(spark):
+    rows = [("b", p, i, t) for i, (p, t) in enumerate([(1, "x" * 201), (3, " ONE "), (3, "one text"), (4, "two"), (4, "more")])]
+    pages = spark.createDataFrame(rows, "book string, page int, pos int, text string")
+    marks = spark.createDataFrame([("b", 0, 1, 3, "One"), ("b", 1, 2, 3, "deep"), ("b", 2, 1, 3, "Also"), ("b", 3, 1, 4, "Two"), ("b", 4, 1, 9, "Empty")], "book string, ord int, level int, page int, title string")
+    got = [(r["chapter"], r["title"], r["text"][:8]) for r in chapters.bookmarked_paragraphs(pages, marks).orderBy("chapter", "pos").collect()]
+    assert got == [(1, "Front matter", "xxxxxxxx"), (2, "One", "one text"), (3, "Also", " ONE "), (3, "Also", "one text"), (4, "Two", "more")]
