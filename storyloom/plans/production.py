@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,7 +252,7 @@ def voice_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 as a stream: counts over a folder that grows."""
     shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{shared}/streamed_counts_{spark.sparkContext.applicationId}_{id(object())}"
+    out = f"{shared}/streamed_counts_{uuid.uuid4().hex}"
     counts.follow(spark, sf_dir, V.table(spark, sf_dir, "events").schema, ["event_type"], out, "events.parquet")
     return counts.totals(spark, ["event_type"], out)
 
