@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from storyloom.functions.text import BARE_NUMBER, MAJOR, clean_paragraph, is_heading
 
-# Second halves that keep the hyphen at a line's end, and first halves that keep it before "то".
+# Second halves that keep the hyphen at a line's end, first halves that keep it before "то", page numbers.
 PARTICLES = "нибудь либо таки ка де с"
 PRONOUNS = "что кто как где когда куда откуда какой какая какое какие каким какую чей чья чьи почему зачем отчего чего кого кому чем ком сколько это тот та"
+PAGE_NUMBER = r"(?U)^\s*[-–—]?\s*\d{1,4}\s*[-–—]?\s*$"
 
 
 def heading_chapters(paragraphs: DataFrame, front_chars: int = 200) -> DataFrame:
@@ -44,15 +45,29 @@ def runs(numbers: DataFrame) -> DataFrame:
     return listed.select("key", F.array_join(F.transform("x", lambda s: s["t"]), ", ").alias("runs"))
 
 
-def repeated_margins(lines: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
+def repeated_margins(lines: DataFrame, share: float = 0.3, least: int = 3, pages: DataFrame | None = None) -> DataFrame:
     """(book, page, text) of margin lines: the keys (digits as #, lower case) that stand on so many pages that they are
-    running headers, with their page counts."""
+    running headers, with their page counts. pages (book, pages) counts all pages of a book, not only those with lines."""
     key = F.regexp_replace(F.lower("text"), "[0-9]+", "#")
-    pages = lines.groupBy("book").agg(F.countDistinct("page").alias("pages"))
+    if pages is None:
+        pages = lines.groupBy("book").agg(F.countDistinct("page").alias("pages"))
     keys = lines.select("book", "page", key.alias("header")).groupBy("book", "header").agg(F.countDistinct("page").alias("n"))
     return keys.join(pages, "book").filter(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share))).select("book", "header", "n")
 
 
+def drop_margins(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(book, page, text, in_margin, ...) without the margin lines that are page numbers or repeated_margins(). Keys fold
+    case and take digits of all scripts as #. pages: as there; without it the pages that have lines count."""
+    columns = lines.columns
+    margin = F.coalesce(F.col("in_margin"), F.lit(False))
+    if pages is None:
+        pages = lines.groupBy("book").agg(F.countDistinct("page").alias("pages"))
+    edge = lines.filter(margin).withColumn("header", F.lower(F.regexp_replace(F.upper("text"), r"\p{Nd}+", "#")))
+    heads = repeated_margins(edge.select("book", "page", F.col("header").alias("text")), pages=pages).select("book", "header")
+    kept = edge.filter(~F.coalesce(F.col("text").rlike(PAGE_NUMBER), F.lit(False))).join(heads, ["book", "header"], "left_anti")
+    return lines.filter(~margin).unionByName(kept.select(*columns))
+
+
 def body_sizes(lines: DataFrame) -> DataFrame:
     """(book, size, pos, text): the font size with most characters in each book, the first seen of equals."""
     w = lines.groupBy("book", "size").agg(F.sum(F.length("text")).alias("chars"), F.min("pos").alias("first"))
@@ -79,10 +94,13 @@ def join_lines(joined: Column) -> Column:
     return F.btrim(F.translate(F.regexp_replace(kept, r"(?U)(\w)-\x1f", "$1"), "\x1f", " "))
 
 
-def line_paragraphs(lines: DataFrame) -> DataFrame:
+def line_paragraphs(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
     """(book, page, pos, text, size, x0, x1) to (book, paragraph, page, text), across pages. A line opens a paragraph if
     it or the line before is not of the body's size, if it starts a dialogue or is indented, if the line before is short
-    and ends a sentence or is a heading, or if it is short and a heading. The page is that of the first line."""
+    and ends a sentence or is a heading, or if it is short and a heading. The page is that of the first line. Lines with
+    in_margin lose page numbers and running headers first; `pages` as in drop_margins()."""
+    if "in_margin" in lines.columns:
+        lines = drop_margins(lines, pages)
     order = Window.partitionBy("book").orderBy("page", "pos")
     text = F.col("text")
     x = page_lines(lines).withColumn("odd", F.abs(F.col("size") - F.col("body_size")) > 0.6).withColumn("closed", F.col("short") & (text.rlike(r'[.!?…:;»"”)]$') | is_heading(text)))

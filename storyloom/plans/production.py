@@ -45,6 +45,36 @@ def pdf_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.line_paragraphs(_page_lines(spark, sf_dir)).select("book", "paragraph", "page", "text")
 
 
+_MARGIN_LINES = r"""
+d AS (SELECT source AS book, doc_id AS page, list_concat([CASE WHEN doc_id % 2 = 0 THEN 'Source ' ELSE 'SOURCE ' END || source || ' ' || doc_id], string_split(text, chr(10)),
+  [CASE doc_id % 10 WHEN 0 THEN '- ' || doc_id % 1000 || ' -' WHEN 1 THEN '- ' || (10000 + doc_id) || ' -' ELSE 'End' END]) AS s FROM documents WHERE text IS NOT NULL),
+ml AS (SELECT *, CASE WHEN pos = 0 THEN page % 3 <> 0 WHEN pos = n - 1 THEN page % 7 <> 0 ELSE pos = 1 END AS in_margin FROM (SELECT book, page, len(s) AS n, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS pos FROM d))
+"""
+
+
+def _margin_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as books and documents as pages, each behind a header and before a page number, a larger number or 'End';
+    the first line of text is in the margin too, some headers and ends are not."""
+    n = F.col("doc_id")
+    head = F.concat(F.when(n % 2 == 0, "Source ").otherwise("SOURCE "), "source", F.lit(" "), n.cast("string"))
+    number = lambda c: F.concat(F.lit("- "), c.cast("string"), F.lit(" -"))
+    foot = F.when(n % 10 == 0, number(n % 1000)).when(n % 10 == 1, number(n + 10000)).otherwise("End")
+    s = F.concat(F.array(head), F.split("text", "\n"), F.array(foot))
+    x = V.table(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.col("source").alias("book"), n.alias("page"), F.size(s).alias("n"), F.posexplode(s).alias("pos", "text"))
+    edge = F.when(F.col("pos") == 0, F.col("page") % 3 != 0).when(F.col("pos") == F.col("n") - 1, F.col("page") % 7 != 0).otherwise(F.col("pos") == 1)
+    return x.withColumn("in_margin", edge).drop("n")
+
+
+@query("WITH " + _MARGIN_LINES + r""",
+p AS (SELECT book, count(DISTINCT page) AS pages FROM ml GROUP BY book),
+k AS (SELECT *, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS header FROM ml),
+h AS (SELECT k.book, header FROM k JOIN p ON p.book = k.book WHERE in_margin GROUP BY k.book, header, pages HAVING count(DISTINCT page) >= greatest(3, floor(pages * 0.3::DOUBLE)))
+SELECT k.book, page, pos, text FROM k LEFT JOIN h ON h.book = k.book AND h.header = k.header WHERE NOT (in_margin AND (h.book IS NOT NULL OR regexp_matches(text, '^\s*[-–—]?\s*[0-9]{1,4}\s*[-–—]?\s*$')))""")
+def body_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page lines without running headers and page numbers."""
+    return chapters.drop_margins(_margin_lines(spark, sf_dir)).select("book", "page", "pos", "text")
+
+
 @query("WITH " + V.SCRIPT + ", u AS (SELECT *, CASE WHEN chapter % 3 = 0 THEN 'Scene ' || chapter ELSE '' END AS title FROM script) SELECT chapter, CAST(paragraph + CASE WHEN title <> '' THEN 1 ELSE 0 END AS BIGINT) AS paragraph, text FROM u UNION ALL SELECT DISTINCT chapter, CAST(0 AS BIGINT), title FROM u WHERE title <> ''")
 def titled_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles read first."""

@@ -121,7 +121,7 @@ def bookmark_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + V.LINES + ", k AS (SELECT book, chapter AS page, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS header FROM kept), p AS (SELECT book, count(DISTINCT page) AS pages FROM k GROUP BY book) SELECT k.book, header, count(DISTINCT page) AS n FROM k JOIN p ON p.book = k.book GROUP BY k.book, header, pages HAVING count(DISTINCT page) >= greatest(2, floor(pages * 0.02))")
 def running_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that repeat on many pages."""
+    """lines that repeat on many pages."""
     return chapters.repeated_margins(V.lines(spark, sf_dir).select("book", F.col("chapter").alias("page"), "text"), 0.02, 2)
 
 

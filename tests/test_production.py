@@ -76,6 +76,22 @@ def test_page_lines(spark):
     assert got == [(0, "Глава 1"), (0, "Он сказал что-то и продолжил."), (1, "Дальше"), (1, "— Да."), (1, "отступ"), (1, "крупно"), (1, "мелко")]
 
 
+def test_running_headers_go(spark):
+    rows = []
+    for page in range(10):
+        title = "Straße 1" if page % 2 else "STRASSE 22"
+        texts = [(title, page < 3), (f"Rare {'abcdefghij'[page]}", True), (f"p{page} of", False), ("Straße 3", page == 9), ("12345" if page < 2 else f"— {page} —" if page == 5 else "x", page in (0, 1, 5))]
+        rows += [("b", page, page * 5 + i, t, m if page != 4 else None, 12.0, 10.0, 500.0) for i, (t, m) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "book string, page int, pos int, text string, in_margin boolean, size double, x0 double, x1 double")
+    gone = {("b", p, t) for p, t in [(0, "STRASSE 22"), (1, "Straße 1"), (2, "STRASSE 22"), (9, "Straße 3"), (5, "— 5 —")]}
+    want = sorted(r[2] for r in rows if not (r[4] and (r[:2] + (r[3],)) in gone))
+    assert sorted(r["pos"] for r in chapters.drop_margins(df).collect()) == want
+    text = " ".join(r["text"] for r in chapters.line_paragraphs(df).collect())
+    assert "— 5 —" not in text and "12345" in text and text.count("22") == 3 and "Rare a" in text
+    many = spark.createDataFrame([("b", 20)], "book string, pages int")
+    assert chapters.drop_margins(df, many).count() == len(rows) - 1
+
+
 def test_selection(spark):
     df = spark.range(1, 8).withColumnRenamed("id", "chapter")
     assert sorted(r["chapter"] for r in chapters.selected(df, "1,3,5-6").collect()) == [1, 3, 5, 6]
