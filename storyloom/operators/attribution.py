@@ -28,16 +28,18 @@ def name_index(characters: DataFrame) -> DataFrame:
 
 def tag_speakers(segments: DataFrame, characters: DataFrame) -> DataFrame:
     """(chapter, paragraph, speaker) for paragraphs that open with dialogue and whose remarks name one character near a
-    verb of speech. The first words' n-grams meet the name index in an equi-join, so no name is searched in each text."""
+    verb of speech. A remark that names several decides nothing and leaves it to the others of its paragraph. The first
+    words' n-grams meet the name index in an equi-join, so no name is searched in each text."""
     order = Window.partitionBy("chapter", "paragraph").orderBy("idx")
     x = segments.withColumn("first", F.first("hint").over(order)).filter((F.col("first") == "dialogue") & (F.col("hint") == "narration"))
     words = F.slice(F.regexp_extract_all(normalize_name(F.col("text")), F.lit(WORD), 1), 1, TAG_WINDOW)
     verbs = "^(" + "|".join(SPEECH_VERBS.split()) + ")"
     x = x.withColumn("w", words).filter(F.exists("w", lambda t: t.rlike(verbs)))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n)))))
-    hits = x.select("chapter", "paragraph", F.explode(grams).alias("words")).join(name_index(characters), "words")
-    named = hits.select("chapter", "paragraph", F.explode("ids").alias("speaker")).groupBy("chapter", "paragraph").agg(F.countDistinct("speaker").alias("n"), F.min("speaker").alias("speaker"))
-    return named.filter("n = 1").drop("n")
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.slice("w", i, n)))))
+    hits = x.select("chapter", "paragraph", "idx", F.explode(grams).alias("words")).join(name_index(characters), "words")
+    one = lambda d, *keys: d.groupBy(*keys).agg(F.countDistinct("speaker").alias("n"), F.min("speaker").alias("speaker")).filter("n = 1").drop("n")
+    remarks = one(hits.select("chapter", "paragraph", "idx", F.explode("ids").alias("speaker")), "chapter", "paragraph", "idx")
+    return one(remarks, "chapter", "paragraph")
 
 
 def apply_tags(segments: DataFrame, tags: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import names as N
-from storyloom.operators import assembly, chapters, labels, plan, registry
+from storyloom.operators import assembly, attribution, chapters, labels, plan, registry
 from storyloom.sources import voices as library
 from storyloom.streaming import counts
 
@@ -92,6 +92,24 @@ def test_running_headers_go(spark):
     assert chapters.drop_margins(df, many).count() == len(rows) - 1
 
 
+@pytest.mark.parametrize(
+    ("remarks", "want"),
+    [
+        (["said Klara Maria von Stein."], "stein"), (["said old Klara Maria von Stein then."], "stein"), (["said Anna Maria von Ufer."], "unknown"), (["said Anna quietly."], "anna"),
+        (["said Boris Petrov to Anna.", "added Anna."], "anna"), (["said Boris Petrov to Anna."], "unknown"), (["said Boris Petrov.", "added Anna."], "unknown"),
+        (["said the very last of all kings."], "king"), (["it was then and there that Anna said."], "unknown"), (["Anna smiled."], "unknown"),
+    ],
+)
+def test_speech_tags(spark, remarks, want):
+    people = spark.createDataFrame(
+        [("stein", "Baroness", ["Klara Maria von Stein"]), ("ufer", "Anna Maria von Ufer", []), ("anna", "Anna", None), ("boris", "Boris Petrov", []), ("king", "The very last of all", [])], "id string, name string, aliases array<string>",
+    )
+    rows = [(1, 1, 0, "dialogue", "Yes,")] + [(1, 1, k + 1, "narration", t) for k, t in enumerate(remarks)] + [(1, 1, 9, "dialogue", "No.")]
+    x = spark.createDataFrame(rows, "chapter int, paragraph int, idx int, hint string, text string")
+    got = attribution.apply_tags(x, attribution.tag_speakers(x, people))
+    assert {r["speaker"] for r in got.collect() if r["hint"] == "dialogue"} == {want}
+
+
 def test_selection(spark):
     df = spark.range(1, 8).withColumnRenamed("id", "chapter")
     assert sorted(r["chapter"] for r in chapters.selected(df, "1,3,5-6").collect()) == [1, 3, 5, 6]
