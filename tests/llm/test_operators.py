@@ -278,6 +278,19 @@ def test_grammar():
     assert kinds(h, t) == ["threat_at"] and kinds(o, o) == [] and kinds(r, n, i) == ["negated"]
 
 
+@pytest.mark.parametrize(
+    "word",
+    ["idiot!!!!", "idiot###", "$$$idiot&&&", "“idiot”", "«idiot»…", "((((((((((((idiot))))))))))))", "—idiot—", "💩idiot💩💩", "“" * 40 + "idiot" + "”" * 40],
+)
+def test_cores_strip_whole_runs(word):
+    texts = [f"ein {word} is", "#### “” a", word, "crème été! л'été… 123 cafe\u0301!"]
+    raw, s, e, _ = T.text_bytes(pa.array(texts))
+    w = T.words(raw, s, e, hashed=False)
+    got = [w.data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(*toxicity.cores(w), strict=True)]
+    assert got[:3] == ["ein", "idiot", "is"] and got[5:7] == ["a", "idiot"] and got[7:10] == ["crème", "été", "л'été"] and got[11] == "cafe\u0301"
+    assert got[3] == "#" and len(got) == 12 and toxicity.features(raw, s, e, toxicity.learn_lexicon([], np.zeros(0)))[[0, 2], -1].all()
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = lambda i: F.pmod(F.crc32(i.cast("string")), F.lit(5)) == 0
