@@ -210,25 +210,32 @@ def cores(w: T.Words, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return s, e
 
 
+def with_gaps(marks: np.ndarray, kinds: np.ndarray) -> list[int]:
+    """The classes of a clause's words at `marks`, with the other words between them. Runs of other words longer than any
+    span are written as long as the longest: behind these the machine has forgotten all, whatever the length."""
+    gaps = np.minimum(np.diff(marks, prepend=marks[0] - 1) - 1, max(SPAN.values()))
+    out = np.full(len(marks) + int(gaps.sum()), OTHER, np.int64)
+    out[np.arange(len(marks)) + np.cumsum(gaps)] = kinds[marks]
+    return out.tolist()
+
+
 def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon: Lexicon) -> np.ndarray:
     """For each text the log of 1 + matches of each kind, of 1 + matches per 100 words, and whether any matches."""
     w = T.words(raw, starts, ends, hashed=False)
     counts = np.zeros((len(w.doc), len(KINDS) + 2))
     s, e = cores(w)
     kinds = lexicon.classify(w.data, s, e)
+    last = np.zeros(len(kinds), bool)  # whether a clause ends with this word
+    last[w.bounds[1:][np.diff(w.bounds) > 0] - 1] = True
+    last = np.flatnonzero(last | CLAUSE_END[w.data[w.ends - 1]])
     hits = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
-    doc = np.searchsorted(w.bounds, hits, "right") - 1
-    done = -1
-    for hit, d in zip(hits.tolist(), doc.tolist(), strict=True):
-        if hit <= done:
-            continue
-        a, first, last = hit, int(w.bounds[d]), int(w.bounds[d + 1]) - 1
-        while a > first and hit - a < 64 and not CLAUSE_END[w.data[w.ends[a - 1] - 1]]:
-            a -= 1
-        done = hit
-        while done < last and done - hit < 64 and not CLAUSE_END[w.data[w.ends[done] - 1]]:
-            done += 1
-        for kind in read_clause(kinds[a : done + 1].tolist()):
+    clauses = np.unique(np.searchsorted(last, hits))
+    marks = np.flatnonzero(kinds != OTHER)
+    close = np.searchsorted(marks, last[clauses], "right")
+    open_ = np.searchsorted(marks, np.where(clauses > 0, last[clauses - 1], -1), "right")
+    doc = np.searchsorted(w.bounds, last[clauses], "right") - 1
+    for i, j, d in zip(open_.tolist(), close.tolist(), doc.tolist(), strict=True):
+        for kind in read_clause(with_gaps(marks[i:j], kinds)):
             counts[d, kind] += 1
     total = counts.sum(axis=1)
     counts[:, -2] = 100 * total / np.maximum(1, np.diff(w.bounds))

@@ -291,6 +291,24 @@ def test_cores_strip_whole_runs(word):
     assert got[3] == "#" and len(got) == 12 and toxicity.features(raw, s, e, toxicity.learn_lexicon([], np.zeros(0)))[[0, 2], -1].all()
 
 
+def test_clauses_are_read_to_their_ends():
+    rng, lexicon = np.random.default_rng(5), toxicity.learn_lexicon([], np.zeros(0))
+    sample = lambda n: " ".join(rng.choice(["x"] * 40 + ["idiot", "kill", "you", "not", "said", "moron,", "y."], n))
+    texts = ["idiot " + "x " * 62 + "moron x you", "", "not " * 3, *(sample(n) for n in (1, 70, 200, 3000)), "idiot " + "x " * 500 + "idiot. you", "you"]
+    raw, s, e, _ = T.text_bytes(pa.array(texts))
+    got = np.expm1(toxicity.features(raw, s, e, lexicon))
+    classes = {"idiot": toxicity.INSULT, "moron,": toxicity.INSULT, "moron": toxicity.INSULT, "idiot.": toxicity.INSULT, "kill": toxicity.THREAT, "you": toxicity.TARGET, "not": toxicity.NEGATION, "said": toxicity.REPORT}
+    for text, row in zip(texts, got, strict=True):
+        clause, want = [], Counter()
+        for word in [*text.split(), "."]:
+            clause.append(classes.get(word, toxicity.OTHER))
+            if word.endswith("."):
+                want.update(toxicity.read_clause(clause))
+                clause = []
+        assert [round(x) for x in row[: len(toxicity.KINDS)]] == [want[k] for k in range(len(toxicity.KINDS))]
+    assert [round(x) for x in got[0][:3]] == [1, 0, 1] and [round(x) for x in got[-2][:1]] == [2]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     held = lambda i: F.pmod(F.crc32(i.cast("string")), F.lit(5)) == 0
