@@ -79,9 +79,10 @@ def observe(observations: DataFrame) -> DataFrame:
             if hit is None and not named:
                 hit = only([i for i, c in people.items() if fits(c, r.gender) and words and (words <= c["words"] or c["words"] <= words)])
             if hit is None:
-                new, n = r.id, 2
+                base = f"{r.id}_character" if r.id in ("narrator", "unknown") else r.id
+                new, n = base, 2
                 while new in people:
-                    new, n = f"{r.id}_{n}", n + 1
+                    new, n = f"{base}_{n}", n + 1
                 people[new] = {"name": r.name, "names": {key}, "aliases": [], "words": words, "gender": r.gender, "seen": 1}
                 continue
             c = people[hit]

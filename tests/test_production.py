@@ -110,6 +110,12 @@ def test_speech_tags(spark, remarks, want):
     assert {r["speaker"] for r in got.collect() if r["hint"] == "dialogue"} == {want}
 
 
+def test_reserved_ids(spark):
+    rows = [("b", 0, "narrator", "Narrator", "unknown"), ("b", 1, "unknown", "Unknown", "male"), ("b", 2, "anna", "Anna", "female")]
+    got = registry.observe(spark.createDataFrame(rows, "book string, ord int, id string, name string, gender string"))
+    assert sorted(r["id"] for r in got.collect()) == ["anna", "narrator_character", "unknown_character"]
+
+
 def test_selection(spark):
     df = spark.range(1, 8).withColumnRenamed("id", "chapter")
     assert sorted(r["chapter"] for r in chapters.selected(df, "1,3,5-6").collect()) == [1, 3, 5, 6]
