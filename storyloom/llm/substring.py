@@ -25,15 +25,6 @@ from storyloom.llm import textkit as T
 from storyloom.llm.anchors import owned
 from storyloom.llm.storage import RID, TEXT, keyed, stored, with_ids
 
-SPREAD = 0xA0761D6478BD642F
-_UNSPREAD = pow(SPREAD, -1, 1 << 64)
-
-
-def span_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of the items a..b-1 of each span."""
-    return T.mix(T.range_sums(T.mix(hashes + T.U(77)), a, b, SPREAD, _UNSPREAD) + (b - a).astype(T.U))
-
-
 def _lists(values: np.ndarray, bounds: np.ndarray, kind=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 
@@ -47,7 +38,7 @@ def seeds(rows: DataFrame, gram: int, window: int) -> DataFrame:
             for i, j in T.slices(s, e, T.SLICE // 2):
                 w = T.words(raw, s[i:j], e[i:j])
                 hashes, at, first, last = owned(w.hashes, w.bounds, gram, window)
-                context = span_keys(w.hashes, first, last + window) ^ T.mix((at - first).astype(T.U))
+                context = T.span_keys(w.hashes, first, last + window) ^ T.mix((at - first).astype(T.U))
                 doc = np.searchsorted(w.bounds, at, "right") - 1
                 bounds = np.searchsorted(at, w.bounds)
                 base = w.bounds[doc]
@@ -78,8 +69,8 @@ def extended(rows: DataFrame, window: int) -> DataFrame:
                 rid = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), [len(x) for x in at])
                 base = np.repeat(w.bounds[:-1], [len(x) for x in at])
                 at = np.concatenate(at) if at else np.zeros(0, np.int64)
-                one = span_keys(w.hashes, at, at + window)
-                two = span_keys(w.hashes ^ T.U(0x5851F42D4C957F2D), at, at + window)
+                one = T.span_keys(w.hashes, at, at + window)
+                two = T.span_keys(w.hashes ^ T.U(0x5851F42D4C957F2D), at, at + window)
                 yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array((at - base).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], [RID, "at", "one", "two"])
 
     return rows.mapInArrow(run, f"{RID} long, at int, one long, two long")

@@ -26,7 +26,6 @@ from storyloom.llm import textkit as T
 from storyloom.llm.anchors import owned
 from storyloom.llm.difference_cover import repeated
 from storyloom.llm.storage import RID, TEXT, keyed, stored, with_ids
-from storyloom.llm.substring import span_keys
 
 
 #: Bytes of a step over byte windows, which need about 100 bytes of memory for each.
@@ -43,7 +42,7 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, gram: int, length: int) -> li
     for a, b in steps:
         code = T.CODE[data[a:b]]
         h, at, first, last = owned(code, bounds if len(steps) == 1 else np.array([0, b - a]), gram, length)
-        out.append([h, span_keys(code, first, last + length) ^ T.mix((at - first).astype(T.U)), first + a, last + 1 - first])
+        out.append([h, T.span_hashes(data[a:b], first, last + length) ^ T.mix((at - first).astype(T.U)), first + a, last + 1 - first])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -127,7 +126,7 @@ def _by_window(parts: DataFrame, length: int) -> DataFrame:
                 begin, n = np.cumsum(size) - size, size - length + 1
                 k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(begin, n) + k
-                one, two = span_keys(T.CODE[data], at, at + length), span_keys(T.CODE[data] ^ T.U(0x5851F42D4C957F2D), at, at + length)
+                one, two = T.span_hashes(data, at, at + length), T.span_hashes(data ^ np.uint8(0x55), at, at + length)
                 again = lambda c: pa.array(np.repeat(batch.column(c).slice(i, j - i).to_numpy(), n))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([again(1), again(2), again(3), pa.array(k.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["anchor", "context", "n", "k", "one", "two"])
 

@@ -12,7 +12,6 @@ list. Only clauses with an insult or threat reach the machine; finding them is o
 from __future__ import annotations
 
 import heapq
-import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -155,17 +154,7 @@ CLAUSE_END[list(b".;:!?")] = True
 @cache
 def letters() -> np.ndarray:
     """Whether each code point is a letter or a mark on one."""
-    return np.fromiter((unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)), bool, 0x110000)
-
-
-def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The code points whose first bytes are at these places, and their lengths."""
-    x = [data[np.minimum(at + k, len(data) - 1)].astype(np.int64) for k in range(4)]
-    low = [v & 0x3F for v in x]
-    two, three = (x[0] & 0x1F) << 6 | low[1], (x[0] & 0x0F) << 12 | low[1] << 6 | low[2]
-    four = (x[0] & 0x07) << 18 | low[1] << 12 | low[2] << 6 | low[3]
-    n = np.select([x[0] < 0x80, x[0] < 0xE0, x[0] < 0xF0], [1, 2, 3], 4)
-    return np.select([n == 1, n == 2, n == 3], [x[0], two, three], four), n
+    return np.isin(T.categories(), [ord("L"), ord("M")])
 
 
 def last_points(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -184,7 +173,7 @@ def cores(w: T.Words, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     known = letters()
     left = np.arange(len(s))
     for _ in range(steps):
-        c, n = code_points(w.data, s[left])
+        c, n = T.code_points(w.data, s[left])
         left, n = left[~known[c]], n[~known[c]]
         s[left] += n
         left = left[s[left] < e[left]]
@@ -193,7 +182,7 @@ def cores(w: T.Words, steps: int = 8) -> tuple[np.ndarray, np.ndarray]:
     right = np.flatnonzero(s < e)
     for _ in range(steps):
         at = last_points(w.data, e[right])
-        sign = ~known[code_points(w.data, at)[0]]
+        sign = ~known[T.code_points(w.data, at)[0]]
         right = right[sign]
         e[right] = at[sign]
         right = right[e[right] > s[right]]
