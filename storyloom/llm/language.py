@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from storyloom.llm import textkit as T
-from storyloom.llm.samples import labelled
+from storyloom.llm.samples import fitted, labelled
 from storyloom.llm.storage import ID, TEXT
 
 BITS = 16
@@ -204,7 +204,7 @@ def fit(rows: list[tuple[str, object]], sequences: int = 1500, run: int = 24, pa
 def train(docs: DataFrame, label_col: str = "lang", held_out=None, most: int = 800, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on up to `most` rows (a bounded sample) with a language that are not held out."""
     use = (lambda i: F.lit(True)) if held_out is None else (lambda i: ~held_out(i))
-    return fit(labelled(docs, None, label_col, use, most, id_col, text_col))
+    return fitted(labelled(docs, None, label_col, use, most, id_col, text_col), fit)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from storyloom.llm import textkit as T
-from storyloom.llm.samples import labelled
+from storyloom.llm.samples import fitted, labelled
 from storyloom.llm.storage import ID, TEXT
 
 #: Buckets of words and of word pairs (a power of two each); buckets of shape runs follow.
@@ -144,7 +144,7 @@ def platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_out=None, most: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on up to `most` labelled rows (a bounded sample) that are not held out."""
     use = (lambda i: F.lit(True)) if held_out is None else (lambda i: ~held_out(i))
-    return fit(labelled(docs, labels, label_col, use, most, id_col, text_col))
+    return fitted(labelled(docs, labels, label_col, use, most, id_col, text_col), fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

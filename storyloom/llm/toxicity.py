@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storyloom.llm import textkit as T
-from storyloom.llm.samples import labelled
+from storyloom.llm.samples import fitted, labelled
 from storyloom.llm.storage import ID, TEXT
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
@@ -319,7 +319,7 @@ def fit(rows: list[tuple[str, object]]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=None, most: int = 3000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """fit() on up to `most` labelled rows (a bounded sample) that are not held out."""
     use = (lambda i: F.lit(True)) if held_out is None else (lambda i: ~held_out(i))
-    return fit(labelled(docs, labels, label_col, use, most, id_col, text_col))
+    return fitted(labelled(docs, labels, label_col, use, most, id_col, text_col), fit)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
