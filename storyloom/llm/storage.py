@@ -42,14 +42,18 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra
     if rows.schema[ID].dataType.typeName() in ("long", "integer", "short", "byte"):
         n, m, there = rows.agg(F.count(F.lit(1)), F.countDistinct(ID), F.count(ID)).first()
         if n == m == there:
-            return rows.select(F.col(ID).cast("long").alias(RID), ID, TEXT, *extra)
+            return rows.select(F.col(ID).cast("long").alias(RID, metadata={OWN_KEY: True}), ID, TEXT, *extra)
     rest = [F.xxhash64(TEXT), *extra]
     return stored(rows.orderBy(ID, *rest).select(F.monotonically_increasing_id().alias(RID), ID, TEXT, *extra), "keyed")
 
 
+#: Marks a _rid that is the id itself.
+OWN_KEY = "own_key"
+
+
 def same_key(rows: DataFrame) -> bool:
-    """Whether keyed() made the ids themselves the key: it then stored nothing."""
-    return not any("/keyed-" in f for f in rows.inputFiles())
+    """Whether keyed() made the ids themselves the key."""
+    return bool(rows.schema[RID].metadata.get(OWN_KEY))
 
 
 def with_ids(out: DataFrame, rows: DataFrame) -> DataFrame:
