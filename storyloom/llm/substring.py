@@ -1,14 +1,20 @@
 """Substring deduplication over words by seed and extend.
 
 1. Seeds: each window of 50 words chooses one winnowed anchor (ten words). Windows of equal words choose equal anchors at
-   equal places, so only texts that share an anchor can share a window.
-2. Join: anchors that one text alone has are dropped by one grouped pass.
-3. Extend: each anchor is extended both ways over the windows that chose it. Occurrences with equal extensions are one
-   class; all but its first text match the first one in full. Where an anchor has several classes, one occurrence of each
-   is extended window by window, to find the longest parts that classes share.
-4. The union of the matches of a text are its maximal repeats of 50 words or more, which are removed.
-
-An anchor that a third of all texts hold is one key of grouped minima and counts; its occurrences are never paired.
+   equal places, so only texts that share an anchor can share a window. An anchor's neighbourhood is all words of the
+   windows that chose it.
+2. Join: anchors that one text alone has are dropped by one grouped pass. Occurrences with equal neighbourhoods are one
+   class (64-bit hashes of anchor and neighbourhood); all but its first text match the first one in full.
+3. Extend: the first occurrences of an anchor's classes are joined with one representative, the one of the smallest text,
+   and each match is extended to the left and to the right, word by word, as far as both agree. Windows inside the match
+   are repeats. A window that reaches beyond the match on one side can only be shared with occurrences that leave the
+   representative at the same place with the same next word: these are the groups of the next round, which get a
+   representative of their own. So occurrences are never paired with each other, and no match is missed.
+4. The union of a text's matches are its maximal repeats of 50 words or more, which are removed.
+
+Each round lengthens what the members of a group share by a word at least and drops its representative, so there are
+2 * (window - gram) + 2 rounds at most. An anchor that a third of all texts hold is one key of grouped minima and of a
+join with one row for each key; its occurrences are never gathered.
 """
 
 from __future__ import annotations
@@ -30,7 +36,8 @@ def _lists(values: np.ndarray, bounds: np.ndarray, kind=None) -> pa.ListArray:
 
 
 def seeds(rows: DataFrame, gram: int, window: int) -> DataFrame:
-    """For rows (_rid, _text): _rid, n_words, whole_sha256 (all words) and the anchors as parallel lists."""
+    """For rows (_rid, _text): _rid, n_words, whole_sha256 (all words) and the anchors as parallel lists: hashes of anchor
+    and neighbourhood, the anchor's place, first and last window."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,41 +46,103 @@ def seeds(rows: DataFrame, gram: int, window: int) -> DataFrame:
                 w = T.words(raw, s[i:j], e[i:j])
                 hashes, at, first, last = owned(w.hashes, w.bounds, gram, window)
                 context = T.span_keys(w.hashes, first, last + window) ^ T.mix((at - first).astype(T.U))
-                doc = np.searchsorted(w.bounds, at, "right") - 1
                 bounds = np.searchsorted(at, w.bounds)
-                base = w.bounds[doc]
+                base = w.bounds[np.searchsorted(w.bounds, at, "right") - 1]
                 sha = [hashlib.sha256(b" ".join(raw[x:y].tobytes().split())).hexdigest() for x, y in zip(s[i:j].tolist(), e[i:j].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i), pa.array(np.diff(w.bounds), pa.int64()), pa.array(sha), _lists(hashes.view(np.int64), bounds), _lists(context.view(np.int64), bounds),
-                    _lists(first - base, bounds, pa.int32()), _lists(last - base, bounds, pa.int32()),
+                    *(_lists(x - base, bounds, pa.int32()) for x in (at, first, last)),
                 ], names)
 
-    names = [RID, "n_words", "whole_sha256", "anchor", "context", "first", "last"]
-    return rows.select(RID, TEXT).mapInArrow(find, f"{RID} long, n_words long, whole_sha256 string, anchor array<long>, context array<long>, first array<int>, last array<int>")
+    names = [RID, "n_words", "whole_sha256", "anchor", "context", "at", "first", "last"]
+    return rows.select(RID, TEXT).mapInArrow(find, f"{RID} long, n_words long, whole_sha256 string, anchor array<long>, context array<long>, at array<int>, first array<int>, last array<int>")
 
 
-def extended(rows: DataFrame, window: int) -> DataFrame:
-    """For rows (_rid, _text, first[], last[]): _rid and the hashes of the windows whose starts the lists name."""
+#: A node: an occurrence in a group, and which of its windows are open: those that begin lo..hi words before the anchor.
+NODE = f"{RID} long, at int, lo int, hi int, left binary, mid binary, right binary"
+
+
+def neighbourhoods(rows: DataFrame, gram: int, window: int) -> DataFrame:
+    """For rows (_rid, _text, of[struct(anchor, at, first, last)]): a node for each, grouped by anchor. left: the words
+    before the anchor, the nearest first; a blank follows each word of left and right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, s, e, _ = T.text_bytes(batch.column(1))
-            firsts, lasts = batch.column(2), batch.column(3)
-            for i, j in T.slices(s, e, T.SLICE // 2):
-                w = T.words(raw, s[i:j], e[i:j])
-                at = []
-                for k in range(i, j):
-                    a, b = np.array(firsts[k].as_py(), np.int64), np.array(lasts[k].as_py(), np.int64)
-                    n = b - a + 1
-                    at.append(np.unique(np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))) + w.bounds[k - i])
-                rid = np.repeat(batch.column(0).slice(i, j - i).to_numpy(), [len(x) for x in at])
-                base = np.repeat(w.bounds[:-1], [len(x) for x in at])
-                at = np.concatenate(at) if at else np.zeros(0, np.int64)
-                one = T.span_keys(w.hashes, at, at + window)
-                two = T.span_keys(w.hashes ^ T.U(0x5851F42D4C957F2D), at, at + window)
-                yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array((at - base).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], [RID, "at", "one", "two"])
+            out: list[list] = [[] for _ in names]
+            for rid, x, y, of in zip(batch.column(0).to_pylist(), s.tolist(), e.tolist(), batch.column(2), strict=True):
+                words = raw[x:y].tobytes().split()
+                for o in of.as_py():
+                    at, first, last = o["at"], o["first"], o["last"]
+                    left = b"".join([w + b" " for w in words[first:at][::-1]])
+                    right = b"".join([w + b" " for w in words[at + gram : last + window]])
+                    for column, v in zip(out, (o["anchor"], rid, at, at - last, at - first, left, b" ".join(words[at : at + gram]), right), strict=True):
+                        column.append(v)
+                if len(out[0]) >= 4000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                    out = [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    names = ["g", RID, "at", "lo", "hi", "left", "mid", "right"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return rows.mapInArrow(run, f"g long, {NODE}")
+
+
+def common(x: bytes, y: bytes) -> tuple[int, bytes]:
+    """How many words x and y have in common from their beginnings, and the next word of x (empty at its end)."""
+    if x == y:
+        return x.count(b" "), b""
+    n = min(len(x), len(y))
+    differ = int.from_bytes(x[:n], "little") ^ int.from_bytes(y[:n], "little")
+    p = ((differ & -differ).bit_length() - 1) // 8 if differ else n
+    begin = x.rfind(b" ", 0, p) + 1
+    end = x.find(b" ", begin)
+    return x.count(b" ", 0, begin), x[begin : end if end >= 0 else len(x)]
+
+
+def extend(node: tuple, to: tuple, reach: int, window: int) -> list[tuple]:
+    """What the match of a node (g, rid, at, lo, hi, left, mid, right) with its representative (rid, at, left, mid, right)
+    gives: nodes of the next round, and spans (None, rid, a, b, ...)."""
+    g, rid, at, lo, hi, left, mid, right = node
+    if to[:2] == (rid, at):
+        return []
+    key = lambda *parts: int.from_bytes(hashlib.blake2b(repr((g, *parts)).encode(), digest_size=8).digest(), "little", signed=True)
+    if mid != to[3]:
+        return [(key("mid", mid), rid, at, lo, hi, left, mid, right)]
+    l, before = common(left, to[2])
+    r, behind = common(right, to[4])
+    out = []
+    a, b = max(lo, reach - r), min(hi, l)
+    if a <= b and to[0] < rid:
+        out.append((None, rid, at - b, at - a + window, 0, None, None, None))
+    if max(lo, l + 1) <= hi:
+        out.append((key("left", l, before), rid, at, max(lo, l + 1), hi, left, mid, right))
+    if lo <= (top := min(hi, l, reach - 1 - r)):
+        out.append((key("right", r, behind), rid, at, lo, top, left, mid, right))
+    return out
+
+
+def one_round(nodes: DataFrame, reach: int, window: int) -> DataFrame:
+    """Joins each node with the representative of its group, the occurrence in the smallest text, and extends."""
+    # Of several places in the smallest text (as in a run of one word) any will do; a drawn one halves the others' lengths.
+    place = F.struct(RID, F.xxhash64("at").alias("drawn"), "at", "left", "mid", "right")
+    reps = nodes.groupBy("g").agg(F.min(place).alias("to"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", *(f"to.{c}" for c in (RID, "at", "left", "mid", "right")))
+    reps = stored(reps, "representatives")
+    joined = nodes.join(reps.toDF("g", *(f"to_{c}" for c in reps.columns[1:])), "g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            out = []
+            for row in zip(*columns, strict=True):
+                out += extend(row[:8], row[8:], reach, window)
+            columns = list(zip(*out, strict=True)) if out else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.mapInArrow(run, f"{RID} long, at int, one long, two long")
+    names = ["g", RID, "at", "lo", "hi", "left", "mid", "right"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    x = joined.select(*names, *(f"to_{c}" for c in (RID, "at", "left", "mid", "right")))
+    return stored(x.mapInArrow(run, f"g long, {NODE}"), "extended")
 
 
 def removed(rows: DataFrame) -> DataFrame:
@@ -96,22 +165,27 @@ def removed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{RID} long, n_removed long, kept_sha256 string")
 
 
-def repeats(rows: DataFrame, found: DataFrame, window: int) -> DataFrame:
+def repeats(rows: DataFrame, found: DataFrame, gram: int, window: int) -> DataFrame:
     """_rid, a, b: word spans of rows that a row with a smaller key has too; found: the stored seeds()."""
-    places = found.select(RID, F.explode(F.arrays_zip("anchor", "context", "first", "last")).alias("x")).select(RID, "x.*")
+    places = found.select(RID, F.explode(F.arrays_zip("anchor", "context", "at", "first", "last")).alias("x")).select(RID, "x.*")
     known = places.groupBy("anchor").agg(F.min(RID).alias("low"), F.max(RID).alias("high"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("low < high")
     known = stored(known.select("anchor", "low", (F.col("c1") == F.col("c2")).alias("alone")), "known")  # joins of plain exchanges can split a hot key
     shared = stored(places.join(known, "anchor"), "shared")
-    classes = stored(shared.filter("not alone").groupBy("anchor", "context").agg(F.min(RID).alias("leader")), "classes")
-    several = stored(shared.filter("not alone").join(classes, ["anchor", "context"]), "several")
-    whole = shared.filter(F.col("alone") & (F.col(RID) > F.col("low"))).select(RID, "first", "last").unionByName(several.filter(F.col(RID) > F.col("leader")).select(RID, "first", "last"))
-    spans = whole.select(RID, F.col("first").alias("a"), (F.col("last") + window).alias("b"))
-    open_ = several.filter(F.col(RID) == F.col("leader")).groupBy(RID).agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))
-    split = stored(extended(rows.select(RID, TEXT).join(open_, RID).select(RID, TEXT, "first", "last"), window), "windows")
-    firsts = split.groupBy("one", "two").agg(F.min(RID).alias("low"), F.max(RID).alias("high")).filter("low < high").select("one", "two", "low")
-    firsts = stored(firsts, "firsts")
-    parts = split.join(firsts, ["one", "two"]).filter(F.col(RID) > F.col("low")).select(RID, F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    return spans.unionByName(parts)
+    several = shared.filter("not alone")
+    classes = stored(several.groupBy("anchor", "context").agg(F.min(F.struct(RID, "at", "first", "last")).alias("lead")), "classes")
+    copies = several.join(classes.select("anchor", "context", F.col(f"lead.{RID}").alias("leader")), ["anchor", "context"]).filter(F.col(RID) > F.col("leader"))
+    whole = shared.filter(F.col("alone") & (F.col(RID) > F.col("low"))).select(RID, "first", "last").unionByName(copies.select(RID, "first", "last"))
+    spans = [whole.select(RID, F.col("first").alias("a"), (F.col("last") + window).alias("b"))]
+    leads = classes.groupBy(F.col(f"lead.{RID}").alias(RID)).agg(F.collect_list(F.struct("anchor", "lead.at", "lead.first", "lead.last")).alias("of"))
+    nodes = stored(neighbourhoods(rows.select(RID, TEXT).join(leads, RID).select(RID, TEXT, "of"), gram, window), "nodes")
+    while not nodes.isEmpty():
+        done = one_round(nodes, window - gram, window)
+        spans.append(done.filter("g is null").select(RID, F.col("at").alias("a"), F.col("lo").alias("b")))
+        nodes = done.filter("g is not null")
+    out = spans[0]
+    for x in spans[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 10) -> DataFrame:
@@ -122,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = keyed(docs, id_col, text_col)
     found = stored(seeds(rows, gram, window), "seeds")
-    spans = stored(repeats(rows, found, window).groupBy(RID).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
+    spans = stored(repeats(rows, found, gram, window).groupBy(RID).agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "spans")
     cut = removed(rows.select(RID, TEXT).join(spans, RID).select(RID, TEXT, "a", "b"))
     out = found.select(RID, "n_words", "whole_sha256").join(cut, RID, "left")
     return with_ids(out.select(RID, "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "whole_sha256").alias("kept_sha256")), rows)
