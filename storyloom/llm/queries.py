@@ -105,16 +105,20 @@ tri AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVE
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri WHERE g IS NOT NULL) WHERE n > 1),
 covered AS (SELECT DISTINCT doc_id, i + k AS i FROM twice, (VALUES (0), (1), (2)) v(k)),
 reps AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+pairs AS (SELECT doc_id, x || ' ' || lead(x) OVER o AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+top AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, g, count(*) AS n FROM pairs WHERE g IS NOT NULL GROUP BY doc_id, g) GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(reps.n, 0) AS BIGINT) AS n_repeat_words,
-         len(lines) AS n_lines, len(list_distinct(w)) AS n_distinct
-  FROM d LEFT JOIN reps ON reps.doc_id = d.doc_id),
+         len(lines) AS n_lines, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS n_lettered,
+         coalesce(top.n, 0) AS n_top
+  FROM d LEFT JOIN reps ON reps.doc_id = d.doc_id LEFT JOIN top ON top.doc_id = d.doc_id),
 failed AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (10 * n_symbols > word_chars) AND NOT (2 * n_dup_lines > n_lines)
-       AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AND NOT (20 * n_distinct < n_words) AS kept
+       AND NOT (word_chars < 2 * n_words OR word_chars > 15 * n_words) AND NOT (20 * n_distinct < n_words)
+       AND NOT (2 * n_lettered < n_words) AND NOT (5 * n_top > n_words - 1) AS kept
 FROM failed""",
     "op8_seed_extend": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
