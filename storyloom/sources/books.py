@@ -7,17 +7,25 @@ import posixpath
 import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storyloom.functions.text import clean_paragraph
+from storyloom.operators.chapters import finalized_books, heading_chapters
+from storyloom.tables import stored
 
-LEAVES = {"p", "li", "blockquote", "pre", "dd", "dt", "td", "h1", "h2", "h3", "h4", "h5", "h6"}
-HEADS = {"h1", "h2", "h3"}
-SKIPPED = {"script", "style", "nav"}
+# File types, block elements, headings, what is not read, paragraphs and groups of paragraphs of FB2.
+FORMATS = ("txt", "pdf", "epub", "fb2", "fb2.zip")
+BLOCKS = ("h1", "h2", "h3", "h4", "p", "div", "li", "blockquote", "pre")
+HEADS = ("h1", "h2", "h3")
+SKIPPED = ("script", "style", "nav", "head")
+FB2_TEXT = ("p", "v", "subtitle", "text-author")
+FB2_GROUPS = ("poem", "cite", "epigraph")
+FB2_NOTES = ("notes", "comments", "footnotes")
 
 
 def book_format(path: Column) -> Column:
@@ -25,6 +33,29 @@ def book_format(path: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(path), r"\.(fb2\.zip|txt|pdf|epub|fb2)$", 1), F.lit(""))
 
 
+def stem(path: Column) -> Column:
+    """A file's name without folders and extension."""
+    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?i)\.(fb2\.zip|[^.]*)$", "")
+
+
+def validate_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths, if each is a file of a supported type; on any file system that Spark reads."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(p) or not fs.getFileStatus(p).isFile():
+            raise FileNotFoundError(path)
+        if not path.lower().endswith(tuple(f".{f}" for f in FORMATS)):
+            raise ValueError(f"{path}: unsupported type; supported: {', '.join(FORMATS)}")
+    return paths
+
+
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, content, sha256) of book files."""
+    x = spark.read.format("binaryFile").load(validate_paths(spark, paths))
+    return x.select("path", "content", F.sha2("content", 256).alias("sha256"))
+
+
 def decode_text(raw: bytes) -> str:
     """UTF-8 (with or without mark), UTF-16 with a mark, else Windows-1251."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
@@ -36,9 +67,14 @@ def decode_text(raw: bytes) -> str:
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """(book, content binary) to (book, text)."""
+    """(book, content binary) to (book, text). UTF-8 stays in the JVM; only other texts are decoded in Python."""
     kind = files.schema["book"].dataType.simpleString()
-    return files.select("book", "content").mapInPandas(lambda it: (pd.DataFrame({"book": b["book"], "text": [decode_text(bytes(x)) for x in b["content"]]}) for b in it), f"book {kind}, text string")
+    plain = F.col("content").cast("string")
+    good = F.is_valid_utf8(plain) & ~F.hex(F.substring("content", 1, 2)).isin("FFFE", "FEFF")
+    x = files.select("book", "content").withColumn("good", good)
+    utf8 = x.filter("good").select("book", F.regexp_replace(plain, "^\ufeff", "").alias("text"))
+    rest = x.filter("not good").select("book", "content").mapInPandas(lambda it: (pd.DataFrame({"book": b["book"], "text": [decode_text(bytes(x)) for x in b["content"]]}) for b in it), f"book {kind}, text string")
+    return utf8.unionByName(rest)
 
 
 def text_paragraphs(texts: DataFrame) -> DataFrame:
@@ -49,61 +85,85 @@ def text_paragraphs(texts: DataFrame) -> DataFrame:
     book = Window.partitionBy("book")
     order = book.orderBy("pos")
     x = lines.withColumn("blank", blank).withColumn("hard", F.count_if("blank").over(book) >= F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(book) / 50)))
-    opens = F.lag("blank", 1, True).over(order) | ~F.col("hard") | F.col("line").rlike(r"^(?: {4}|\t)|^\s*(?:[—–]|-\s)")
+    opens = F.lag("blank", 1, True).over(order) | ~F.col("hard") | F.col("line").rlike(r"(?U)^(?: {4}|\t)|^\s*[—–-]\s")
     x = x.withColumn("g", F.sum((opens & ~F.col("blank")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("not blank")
     joined = x.groupBy("book", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
     return joined.select("book", (F.col("g") - 1).alias("paragraph"), clean_paragraph(F.array_join(F.transform("x", lambda s: s["line"]), " ")).alias("text"))
 
 
+def text_books(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of text files to books (book, title, language, ...) and chapters: decoded, cut into paragraphs and
+    at headings (by size where there are none), cleaned and numbered. A book goes by its path; its title is the file's name
+    without extension."""
+    x = files.select(F.col("path").alias("book"), "content")
+    made = heading_chapters(text_paragraphs(decoded(x)))
+    none = lambda c: F.lit("").alias(c)
+    books = x.select("book", stem(F.col("book")).alias("title"), none("author"), none("language"), F.lit("txt").alias("source_format"))
+    return finalized_books(books, made)
+
+
+def _clean(text: str) -> str:
+    """clean_paragraph() for parsers."""
+    return " ".join(text.translate({0xAD: None, 0x200B: None, 0xFEFF: None}).split())
+
+
 class _Sections(HTMLParser):
-    """Text of leaf blocks, cut at headings; consecutive headings are one title."""
+    """Text of leaf blocks, cut at headings; consecutive headings are one title. Text beside the blocks of a container
+    is not read."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.sections: list[tuple[str, list[str]]] = [("", [])]
-        self.text: list[str] = []
-        self.tag, self.skip = "", 0
-
-    def flush(self) -> None:
-        text = " ".join("".join(self.text).split())
-        self.text = []
-        if not text:
-            return
-        title, body = self.sections[-1]
-        if self.tag in HEADS:
-            if title and not body:
-                self.sections[-1] = (f"{title}. {text}", body)
-            else:
+        self.open: list[list] = []  # tag, pieces of text, whether a block is inside
+        self.skip = 0
+
+    def leave(self, upto: int) -> None:
+        while len(self.open) > upto:
+            tag, pieces, parent = self.open.pop()
+            text = "" if parent else _clean("".join(pieces))
+            if not text:
+                continue
+            title, body = self.sections[-1]
+            if tag not in HEADS:
+                body.append(text)
+            elif body:
                 self.sections.append((text, []))
-        else:
-            body.append(text)
+            else:
+                self.sections[-1] = (f"{title}. {text}" if title else text, body)
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skip += 1
-        elif tag in LEAVES:
-            self.flush()
-            self.tag = tag
-        elif tag == "br":
-            self.text.append(" ")
+        elif tag in BLOCKS and not self.skip:
+            if self.open and (self.open[-1][0] == "p" or (tag == "li" and self.open[-1][0] == "li")):
+                self.leave(len(self.open) - 1)  # these end where the next block begins
+            for block in self.open:
+                block[2] = True
+            self.open.append([tag, [], False])
+
+    def handle_startendtag(self, tag, attrs):
+        pass
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag in LEAVES:
-            self.flush()
-            self.tag = ""
+        elif tag in BLOCKS and not self.skip:
+            at = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k][0] == tag), None)
+            if at is not None:
+                self.leave(at)
+        elif tag in ("ul", "ol") and self.open and self.open[-1][0] == "li":
+            self.leave(len(self.open) - 1)
 
     def handle_data(self, data):
-        if not self.skip and self.tag:
-            self.text.append(data)
+        if not self.skip and self.open:
+            self.open[-1][1].append(data)
 
 
 def html_sections(html: str) -> list[tuple[str, list[str]]]:
     p = _Sections()
     p.feed(html or "")
     p.close()
-    p.flush()
+    p.leave(0)
     return [(t, b) for t, b in p.sections if b]
 
 
@@ -122,75 +182,195 @@ def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
 
 
-def _xml(raw: bytes) -> ElementTree.Element:
-    if b"<!DOCTYPE" in raw[:4096].upper() or b"<!ENTITY" in raw.upper():
-        raise ValueError("document types and entities are refused")
-    return ElementTree.fromstring(raw)
+class _Lenient(HTMLParser):
+    """A tree of XML that is broken, or that declares entities: what is open is closed where its parent ends, entities
+    are not expanded."""
 
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.builder, self.open = ElementTree.TreeBuilder(), []
+
+    def handle_starttag(self, tag, attrs):
+        self.builder.start(tag.rsplit(":", 1)[-1], {k: v or "" for k, v in attrs})
+        self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.open:
+            while True:
+                last = self.open.pop()
+                self.builder.end(last.rsplit(":", 1)[-1])
+                if last == tag:
+                    break
 
-def fb2_chapters(raw: bytes) -> list[tuple[str, list[str]]]:
-    """Chapters of an FB2 file (or of the first one in a zip): leaf sections, titled by the last two levels."""
+    def handle_data(self, data):
+        if self.open:
+            self.builder.data(data)
+
+    def tree(self, text: str) -> ElementTree.Element:
+        self.handle_starttag("file", [])
+        self.feed(text)
+        self.close()
+        while self.open:
+            self.builder.end(self.open.pop().rsplit(":", 1)[-1])
+        return self.builder.close()
+
+
+def _xml(raw: bytes) -> ElementTree.Element:
+    declared = b"<!DOCTYPE" in raw[:4096].upper() or b"<!ENTITY" in raw.upper()
+    if not declared:
+        try:
+            return ElementTree.fromstring(raw)
+        except ElementTree.ParseError:
+            pass
+    root = _Lenient().tree(decode_text(raw))
+    top = next(iter(root), None)
+    if top is None:
+        raise ValueError("empty document")
+    return top
+
+
+def _text(e: ElementTree.Element) -> str:
+    return _clean("".join(e.itertext()))
+
+
+def _fb2_sections(section: ElementTree.Element, above: list[str], titled: bool) -> Iterator[tuple[list[str], list[str]]]:
+    """(titles, paragraphs) of a section's own text and of the sections in it."""
+    title, own, inner = "", [], []
+    for e in section:
+        kind = _local(e.tag)
+        if kind == "title":
+            title = " ".join(x for x in map(_text, e) if x)
+        elif kind == "section":
+            inner.append(e)
+        elif kind in FB2_TEXT:
+            own.append(_text(e))
+        elif kind in FB2_GROUPS:
+            own += [_text(x) for x in e.iter() if _local(x.tag) in FB2_TEXT]
+    titles = [*above, title] if title and titled else above
+    if own := [x for x in own if x]:
+        yield titles, own
+    for e in inner:
+        yield from _fb2_sections(e, titles, True)
+
+
+Book = tuple[dict[str, str], list[tuple[str, bool, list[str]]]]
+
+
+def fb2_book(raw: bytes) -> Book:
+    """title, author and language of an FB2 file (or of the first one in a zip), and its chapters (title, whether it is
+    the book's own, paragraphs): sections with text, titled by the last two levels."""
     if raw[:2] == b"PK":
         with zipfile.ZipFile(io.BytesIO(raw)) as z:
-            raw = z.read(next(n for n in z.namelist() if n.lower().endswith(".fb2")))
-    out: list[tuple[str, list[str]]] = []
-    text = lambda e: " ".join("".join(e.itertext()).split())
-
-    def walk(section: ElementTree.Element, path: list[str]) -> None:
-        own = []
-        for e in section:
-            if _local(e.tag) == "title":
-                path = [*path, " ".join(text(p) for p in e if text(p)).rstrip(".")]
-        inner = [e for e in section if _local(e.tag) == "section"]
-        for e in section.iter():
-            if _local(e.tag) in ("p", "v", "subtitle") and text(e):
-                own.append(e)
-        nested = {id(x) for s in inner for x in s.iter()} | {id(x) for e in section if _local(e.tag) == "title" for x in e.iter()}
-        body = [text(e) for e in own if id(e) not in nested]
-        if body:
-            out.append((". ".join(p for p in path[-2:] if p), body))
-        for e in inner:
-            walk(e, path)
-
-    for body in _xml(raw):
-        if _local(body.tag) == "body" and body.get("name") not in ("notes", "comments", "footnotes"):
-            for e in body:
-                if _local(e.tag) == "section":
-                    walk(e, [])
-    return out
-
-
-def epub_chapters(raw: bytes, least: int = 300) -> list[tuple[str, list[str]]]:
-    """Chapters of an EPUB file in the order of its spine; untitled short sections join the one before."""
-    out: list[tuple[str, list[str]]] = []
+            name = next((n for n in z.namelist() if n.lower().endswith(".fb2")), None)
+            if name is None:
+                raise ValueError("no .fb2 file in the archive")
+            raw = z.read(name)
+    root = _xml(raw)
+    about = {"title": "", "author": "", "language": ""}
+    info = next((e for e in root.iter() if _local(e.tag) == "title-info"), ())
+    for e in info.iter() if info else ():
+        kind = _local(e.tag)
+        if kind == "book-title":
+            about["title"] = about["title"] or _text(e)
+        elif kind == "lang":
+            about["language"] = about["language"] or _text(e)
+        elif kind == "author":
+            parts = [_text(x) for x in e if _local(x.tag) in ("first-name", "middle-name", "last-name")]
+            about["author"] = about["author"] or " ".join(x for x in parts if x)
+    bodies = [e for e in root if _local(e.tag) == "body" and e.get("name") not in FB2_NOTES]
+    if not bodies:
+        raise ValueError("no body")
+    out: list[tuple[str, bool, list[str]]] = []
+    for body in bodies:
+        for titles, paragraphs in _fb2_sections(body, [], False):
+            title = ". ".join(x.rstrip(".") for x in titles[-2:])
+            out.append((title or f"Chapter {len(out) + 1}", bool(titles), paragraphs))
+    return about, out
+
+
+def _contents(z: zipfile.ZipFile, package: ElementTree.Element, folder: str) -> dict[str, str]:
+    """Titles of the table of contents by file, the first of each: from the older form (ncx), else the newer (nav)."""
+    items = [e for e in package.iter() if _local(e.tag) == "item"]
+    place = lambda href, base: posixpath.normpath(posixpath.join(base, unquote((href or "").split("#")[0])))
+    found: dict[str, str] = {}
+    for e in items:
+        path = place(e.get("href"), folder)
+        if path not in z.namelist():
+            continue
+        base = posixpath.dirname(path)
+        if e.get("media-type") == "application/x-dtbncx+xml":
+            for point in _xml(z.read(path)).iter():
+                if _local(point.tag) == "navPoint" or _local(point.tag) == "navpoint":
+                    label = next((_text(x) for x in point if _local(x.tag).lower() == "navlabel"), "")
+                    href = next((x.get("src") for x in point if _local(x.tag) == "content"), None)
+                    if label and href:
+                        found.setdefault(place(href, base), label)
+    for e in items:
+        if not found and "nav" in (e.get("properties") or "").split() and place(e.get("href"), folder) in z.namelist():
+            path = place(e.get("href"), folder)
+            for link in _xml(z.read(path)).iter():
+                if _local(link.tag) == "a" and link.get("href") and _text(link):
+                    found.setdefault(place(link.get("href"), posixpath.dirname(path)), _text(link))
+    return found
+
+
+def epub_book(raw: bytes, least: int = 300) -> Book:
+    """title, author and language of an EPUB file, and its chapters in the order of its spine. The first section of a file
+    without heading takes its title from the table of contents; untitled short sections join the chapter before."""
+    out: list[tuple[str, bool, list[str]]] = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         container = _xml(z.read("META-INF/container.xml"))
         opf = next(e.get("full-path") for e in container.iter() if _local(e.tag) == "rootfile")
-        package = _xml(z.read(opf))
-        files = {e.get("id"): posixpath.join(posixpath.dirname(opf), e.get("href")) for e in package.iter() if _local(e.tag) == "item"}
+        package, folder = _xml(z.read(opf)), posixpath.dirname(opf)
+        metadata = next((e for e in package.iter() if _local(e.tag) == "metadata"), ())
+        first = lambda kind: next((_text(e) for e in metadata if _local(e.tag) == kind), "")
+        about = {"title": first("title"), "author": first("creator"), "language": first("language")}
+        files = {e.get("id"): posixpath.normpath(posixpath.join(folder, unquote(e.get("href") or ""))) for e in package.iter() if _local(e.tag) == "item"}
+        titles = _contents(z, package, folder)
         for e in package.iter():
-            if _local(e.tag) == "itemref" and files.get(e.get("idref")) in z.namelist():
-                for title, body in html_sections(decode_text(z.read(files[e.get("idref")]))):
-                    if out and not title and sum(map(len, body)) < least:
-                        out[-1][1].extend(body)
-                    else:
-                        out.append((title, body))
-    return out
+            path = files.get(e.get("idref")) if _local(e.tag) == "itemref" else None
+            if path not in z.namelist():
+                continue
+            for n, (title, body) in enumerate(html_sections(decode_text(z.read(path)))):
+                title = title or (titles.get(path, "") if n == 0 else "")
+                if out and not title and sum(map(len, body)) < least:
+                    out[-1][2].extend(body)
+                else:
+                    out.append((title or f"Chapter {len(out) + 1}", bool(title), body))
+    return about, out
 
 
 def parse_books(files: DataFrame) -> DataFrame:
-    """(path, content) of FB2, zipped FB2 and EPUB files to (path, chapter, title, paragraph, text); a file that cannot
-    be read gives one row with chapter 0 and the reason as title."""
+    """(path, content) of FB2, zipped FB2 and EPUB files to (path, book_title, author, language, chapter, title, has_title,
+    paragraph, text); a file that cannot be read gives one row with chapter 0 and the reason as title."""
+    names = ["path", "book_title", "author", "language", "chapter", "title", "has_title", "paragraph", "text"]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, raw in zip(b["path"], b["content"], strict=True):
                 try:
-                    found = epub_chapters(bytes(raw)) if path.lower().endswith(".epub") else fb2_chapters(bytes(raw))
-                    rows += [(path, c, t, k, x) for c, (t, body) in enumerate(found, 1) for k, x in enumerate(body)]
+                    about, found = (epub_book if path.lower().endswith(".epub") else fb2_book)(bytes(raw))
+                    own = (path, about["title"], about["author"], about["language"])
+                    rows += [(*own, c, t, known, k, x) for c, (t, known, body) in enumerate(found, 1) for k, x in enumerate(body)]
                 except (ValueError, KeyError, StopIteration, ElementTree.ParseError, zipfile.BadZipFile) as e:
-                    rows.append((path, 0, f"unreadable: {type(e).__name__}", 0, None))
-            yield pd.DataFrame(rows, columns=["path", "chapter", "title", "paragraph", "text"])
-
-    return files.select("path", "content").mapInPandas(parse, "path string, chapter int, title string, paragraph int, text string")
+                    rows.append((path, "", "", "", 0, f"unreadable: {type(e).__name__}", False, 0, None))
+            yield pd.DataFrame(rows, columns=names)
+
+    return files.select("path", "content").mapInPandas(parse, "path string, book_title string, author string, language string, chapter int, title string, has_title boolean, paragraph int, text string")
+
+
+def structured_books(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, content) of FB2 and EPUB files to finished books and chapters; a file that cannot be read is an error."""
+    x = stored(parse_books(files).withColumnRenamed("path", "book"), "parsed")
+    broken = x.filter("chapter = 0").select("book", "title").orderBy("book").limit(5).collect()
+    if broken:
+        raise ValueError("; ".join(f"{r['book']}: {r['title']}" for r in broken))
+    kind = F.when(F.lower("book").endswith(".epub"), "epub").otherwise("fb2")
+    title = F.coalesce(F.nullif("book_title", F.lit("")), stem(F.col("book")))
+    books = x.select("book", title.alias("title"), "author", "language", kind.alias("source_format")).distinct()
+    return finalized_books(books, x.select("book", "chapter", "title", "has_title", "paragraph", "text"))
