@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.config import CONFIG, Config
+from storyloom.tables import scope
 
 
 def pauses(segments: DataFrame, config: Config = CONFIG) -> DataFrame:
-    """(chapter, idx, paragraph, type, speaker, ...) with pause_ms before each segment."""
-    w = Window.partitionBy("chapter").orderBy("idx")
+    """([book,] chapter, idx, paragraph, type, speaker, ...) with pause_ms before each segment."""
+    w = Window.partitionBy(*scope(segments)).orderBy("idx")
     changed = (F.lag("speaker").over(w) != F.col("speaker")) | (F.lag("type").over(w) != F.col("type"))
     pause = F.when(F.lag("idx").over(w).isNull(), config.pause_chapter_ms).when(F.lag("paragraph").over(w) != F.col("paragraph"), config.pause_paragraph_ms).when(changed, config.pause_speaker_ms).otherwise(config.pause_same_ms)
     return segments.withColumn("pause_ms", pause)
@@ -23,7 +24,7 @@ def fake_samples(text: str = "text", rate: int = CONFIG.sample_rate):
 
 def offsets(segments: DataFrame, config: Config = CONFIG) -> DataFrame:
     """pauses() with samples of each segment and end, the running end offset in samples of its chapter."""
-    w = Window.partitionBy("chapter").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*scope(segments)).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     x = pauses(segments, config).withColumn("samples", fake_samples(rate=config.sample_rate))
     return x.withColumn("end_sample", F.sum(F.col("pause_ms") * (config.sample_rate // 1000) + F.col("samples")).over(w))
 

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def follow(spark: SparkSession, folder: str, schema: StructType, by: list[str], out: str, pattern: str = "*.parquet") -> None:
-    """Counts the rows of files that came since the last call, by the columns `by`. A batch that is run again after a
-    failure overwrites its own partial result, so every row counts once; state lives in `out` alone."""
+def follow(spark: SparkSession, path: str, schema: StructType, by: list[str], out: str) -> None:
+    """Counts the rows of files that came since the last call, by the columns `by`. path: a folder that grows, or one file
+    of a folder, which then alone is read. A batch that is run again after a failure overwrites its own partial result, so
+    every row counts once; state lives in `out` alone."""
 
     def save(batch: DataFrame, number: int) -> None:
         batch.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{out}/parts/batch={number}")
 
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+    pattern, place = ("*.parquet", path) if folder else (p.getName(), p.getParent().toString())
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(place)
     rows.writeStream.foreachBatch(save).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
 
 
