@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from storyloom.plans import views as V
 from storyloom.plans.queries import _PEOPLE, _TIMED, _people, query, voices
 from storyloom.sources import voices as library
 from storyloom.streaming import counts
+from storyloom.tables import shared_dir
 
 _PAGE_LINES = r"""
 l AS (SELECT doc_id AS book, unnest(s) AS t, generate_subscripts(s, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
@@ -203,7 +203,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return x, x.select("chapter", "idx", plan.segment_key(F.col("text"), F.col("speaker")).alias("key"), "samples", rate.alias("rate"))
 
 
-@query("WITH " + _ASSEMBLED + ", b AS (SELECT chapter, CAST(sum(pause_ms + CAST(round_even(samples * 1000 / rate, 0) AS BIGINT)) + 600 AS BIGINT) AS duration_ms, substring(sha256('asm-v1' || chr(31) || string_agg(idx || ':' || key || ':' || pause_ms, chr(31) ORDER BY idx)), 1, 24) AS key FROM m GROUP BY chapter) SELECT chapter, rate, CAST((SELECT sum(n) - max(n) FROM r WHERE r.chapter = b.chapter) AS BIGINT) AS resampled, duration_ms, key FROM b JOIN rates USING (chapter)")
+@query("WITH " + _ASSEMBLED + ", b AS (SELECT chapter, CAST(sum(pause_ms + CAST(round_even(samples * 1000 / rate, 0) AS BIGINT)) + 600 AS BIGINT) AS duration_ms, substring(sha256('asm-v1' || chr(31) || 'm4a' || chr(31) || '96k' || chr(31) || '44100' || chr(31) || 'True' || chr(31) || chr(31) || chr(31) || string_agg(idx || ':' || key || ':' || pause_ms, chr(31) ORDER BY idx)), 1, 24) AS key FROM m GROUP BY chapter) SELECT chapter, rate, CAST((SELECT sum(n) - max(n) FROM r WHERE r.chapter = b.chapter) AS BIGINT) AS resampled, duration_ms, key FROM b JOIN rates USING (chapter)")
 def assembled_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates, durations and keys of chapter files."""
     return assembly.assemble(*_manifest(spark, sf_dir))
@@ -281,9 +281,8 @@ def voice_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1 as a stream: counts over a folder that grows."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    out = f"{shared}/streamed_counts_{uuid.uuid4().hex}"
-    counts.follow(spark, sf_dir, V.table(spark, sf_dir, "events").schema, ["event_type"], out, "events.parquet")
+    out = f"{shared_dir(spark)}/streamed_counts_{uuid.uuid4().hex}"
+    counts.follow(spark, f"{sf_dir}/events.parquet", V.table(spark, sf_dir, "events").schema, ["event_type"], out)
     return counts.totals(spark, ["event_type"], out)
 
 

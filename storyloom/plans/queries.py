@@ -9,6 +9,7 @@ from storyloom.functions import text as X
 from storyloom.operators import attribution, casting, chapters, plan, registry, segment, timeline
 from storyloom.plans import views as V
 from storyloom.sources import books
+from storyloom.tables import stored
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,9 +40,9 @@ def segment_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.offsets(V.speaking(spark, sf_dir)).select("chapter", "idx", "paragraph", "type", "speaker", "text", "pause_ms", "samples", "end_sample")
 
 
-@query("WITH " + V.SPEAKING + "SELECT speaker, count(*) AS lines, min(chapter) AS first_chapter FROM speaking GROUP BY speaker")
+@query("WITH " + V.SPEAKING + "SELECT speaker, count(*) AS lines, min(chapter) AS first_chapter FROM speaking WHERE type = 'dialogue' AND speaker NOT IN ('narrator', 'unknown') GROUP BY speaker")
 def speaker_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each speaker over all scripts."""
+    """lines of each character over all scripts."""
     return registry.line_counts(V.speaking(spark, sf_dir))
 
 
@@ -52,30 +53,49 @@ def chapter_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.chapter_marks(x.withColumn("book", F.col("chapter") % 10)).select("book", "chapter", "start_ms", "end_ms")
 
 
-@query(r"""WITH RECURSIVE """ + V.SCRIPT.replace("script AS (", "script AS (", 1) + r""",
+_CHUNKS = r""",
 g AS (SELECT chapter, paragraph, sum(length(text)) AS size, bool_and(hint = 'narration') AS plain, row_number() OVER (PARTITION BY chapter ORDER BY paragraph) AS k FROM spans GROUP BY chapter, paragraph),
 f AS (
-  SELECT chapter, paragraph, k, 1 AS chunk, CAST(size AS BIGINT) AS held, plain AND size >= 420 AS done FROM g WHERE k = 1
+  SELECT chapter, paragraph, k, 1 AS chunk, CAST(size AS BIGINT) AS held, plain AND size >= SOFT AS done FROM g WHERE k = 1
   UNION ALL
-  SELECT g.chapter, g.paragraph, g.k, n.chunk, CAST(CASE WHEN n.fresh THEN g.size ELSE f.held + g.size END AS BIGINT), g.plain AND CASE WHEN n.fresh THEN g.size ELSE f.held + g.size END >= 420
-  FROM f JOIN g ON g.chapter = f.chapter AND g.k = f.k + 1, LATERAL (SELECT f.done OR f.held + g.size > 600 AS fresh, f.chunk + CASE WHEN f.done OR f.held + g.size > 600 THEN 1 ELSE 0 END AS chunk) n)
-SELECT chapter, paragraph, chunk FROM f""")
+  SELECT g.chapter, g.paragraph, g.k, n.chunk, CAST(CASE WHEN n.fresh THEN g.size ELSE f.held + g.size END AS BIGINT), g.plain AND CASE WHEN n.fresh THEN g.size ELSE f.held + g.size END >= SOFT
+  FROM f JOIN g ON g.chapter = f.chapter AND g.k = f.k + 1, LATERAL (SELECT f.done OR f.held + g.size > MOST AS fresh, f.chunk + CASE WHEN f.done OR f.held + g.size > MOST THEN 1 ELSE 0 END AS chunk) n)
+"""
+
+
+def _chunks(most: int) -> str:
+    return _CHUNKS.replace("SOFT", str(int(most * 0.7))).replace("MOST", str(most))
+
+
+@query("WITH RECURSIVE " + V.SCRIPT + _chunks(600) + "SELECT chapter, paragraph, chunk FROM f")
 def chunk_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dialogue-aware chunks of 600 characters."""
     return segment.chunk(V.spans(spark, sf_dir), 600)
 
 
-@query()
+@query("WITH RECURSIVE " + V.SCRIPT + _chunks(4000) + "SELECT chapter, paragraph, chunk FROM f")
+def default_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C11: chunks of the default size."""
+    return segment.chunk(V.spans(spark, sf_dir))
+
+
+@query("WITH RECURSIVE " + V.SCRIPT + _chunks(600) + ", c AS (SELECT chapter, chunk, min(paragraph) AS first FROM f GROUP BY chapter, chunk) SELECT c.chapter, chunk, coalesce(string_agg(s.text, chr(10) ORDER BY s.paragraph), '') AS context FROM c LEFT JOIN script s ON s.chapter = c.chapter AND s.paragraph >= first - 3 AND s.paragraph < first GROUP BY c.chapter, chunk")
 def chunk_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paragraphs before each chunk."""
-    return segment.chunk_context(segment.chunk(V.spans(spark, sf_dir), 600), V.script(spark, sf_dir))
+    x = segment.chunk_context(segment.chunk(V.spans(spark, sf_dir), 600), V.script(spark, sf_dir))
+    return x.withColumn("context", F.array_join("context", "\n"))
 
 
-@query()
+@query("WITH RECURSIVE " + V.SPEAKING + _chunks(600) + """,
+l AS (SELECT f.chapter, chunk, speaker, max(idx) AS heard FROM speaking s JOIN f ON f.chapter = s.chapter AND f.paragraph = s.paragraph WHERE type = 'dialogue' AND speaker <> 'unknown' GROUP BY f.chapter, chunk, speaker),
+c AS (SELECT DISTINCT chapter, chunk FROM f),
+b AS (SELECT c.chapter, c.chunk, l.speaker, max(l.heard) AS heard FROM c JOIN l ON l.chapter = c.chapter AND l.chunk < c.chunk GROUP BY c.chapter, c.chunk, l.speaker),
+t AS (SELECT chapter, chunk, string_agg(speaker, ',' ORDER BY heard) AS speakers FROM (SELECT *, row_number() OVER (PARTITION BY chapter, chunk ORDER BY heard DESC) AS k FROM b) WHERE k <= 4 GROUP BY chapter, chunk)
+SELECT c.chapter, c.chunk, coalesce(speakers, '') AS speakers FROM c LEFT JOIN t ON t.chapter = c.chapter AND t.chunk = c.chunk""")
 def recent_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four speakers last heard before each chunk."""
-    x = V.speaking(spark, sf_dir)
-    return attribution.recent_speakers(x.join(segment.chunk(x, 600), ["chapter", "paragraph"]))
+    x = stored(V.speaking(spark, sf_dir), "speaking")
+    return attribution.recent_speakers(x.join(segment.chunk(x, 600), ["chapter", "paragraph"])).withColumn("speakers", F.array_join("speakers", ","))
 
 
 @query()
@@ -103,11 +123,24 @@ def packed_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.pack_chapters(x)
 
 
-@query(r"""WITH t AS (SELECT source AS book, doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, doc_id % 100 + 1 AS n FROM documents),
-p AS (SELECT book, doc_id, last_value(CASE WHEN doc_id % 5 = 0 THEN 'Part ' || n END IGNORE NULLS) OVER (PARTITION BY book ORDER BY doc_id) AS major, CASE WHEN doc_id % 3 = 0 AND doc_id % 100 < 999 THEN 'Chapter ' || n ELSE 'Chapter ' || n END AS name, text FROM t)
-SELECT book, row_number() OVER (PARTITION BY book ORDER BY doc_id) AS chapter, CASE WHEN major IS NULL THEN name ELSE major || '. ' || name END AS title, doc_id * 4 + 2 AS paragraph, text FROM p WHERE length(text) > 90 OR NOT regexp_matches(text, '^[0-9]{1,3}[.]?$')""")
+_HEADED = r"""
+raw AS (
+  SELECT source AS book, doc_id * 4 AS paragraph, CASE WHEN doc_id % 5 = 0 THEN 'Part ' || (doc_id % 100 + 1) END AS text FROM documents
+  UNION ALL SELECT source, doc_id * 4 + 1, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 100 + 1 AS VARCHAR) ELSE 'Chapter ' || (doc_id % 100 + 1) END FROM documents
+  UNION ALL SELECT source, doc_id * 4 + 2, trim(regexp_replace(text, '\s+', ' ', 'g')) FROM documents),
+p AS (SELECT *, length(text) <= 90 AND regexp_matches(text, '""" + X.HEADING.replace("(?iu)", "(?i)") + r"""') AS head FROM raw WHERE text <> ''),
+w AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER o AS part,
+  last_value(CASE WHEN head AND regexp_matches(text, '""" + X.MAJOR.replace("(?iuU)", "(?i)") + r"""') THEN text END IGNORE NULLS) OVER o AS major FROM p WINDOW o AS (PARTITION BY book ORDER BY paragraph)),
+h AS (SELECT book, part, CASE WHEN text = major OR major IS NULL THEN CASE WHEN text = major THEN text ELSE name END ELSE major || '. ' || name END AS title
+  FROM (SELECT *, CASE WHEN regexp_matches(text, '""" + X.BARE_NUMBER.replace("(?iu)", "(?i)") + r"""') THEN 'Chapter ' || regexp_extract(text, '""" + X.BARE_NUMBER.replace("(?iu)", "(?i)") + r"""', 1) ELSE text END AS name FROM w WHERE head)),
+b AS (SELECT *, sum(length(text)) OVER (PARTITION BY book, part) AS chars FROM w WHERE NOT head),
+k AS (SELECT *, dense_rank() OVER (PARTITION BY book ORDER BY part) AS chapter FROM b WHERE part > 0 OR chars > 200)
+"""
+
+
+@query("WITH " + _HEADED + "SELECT k.book, chapter, coalesce(title, 'Chapter ' || chapter) AS title, title IS NOT NULL AS has_title, paragraph, text FROM k LEFT JOIN h ON h.book = k.book AND h.part = k.part")
 def heading_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings to titled, renumbered chapters."""
+    """Headings to titled, numbered chapters."""
     return chapters.heading_chapters(V.headed(spark, sf_dir))
 
 
@@ -192,9 +225,9 @@ def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "part").select(F.col("p_brand").alias("book"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), gender.alias("gender"), F.col("p_size").alias("lines"))
 
 
-@query("WITH " + _PEOPLE + r", s AS (SELECT DISTINCT book, id, gender, substring(t, 1, 5) AS stem FROM (SELECT book, id, gender, unnest(string_split(trim(regexp_replace(lower(name), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ')) AS t FROM people)), p AS (SELECT a.book, a.id AS a, b.id AS b, count(*) AS score FROM s a JOIN s b ON a.book = b.book AND a.stem = b.stem AND a.id < b.id AND (a.gender = b.gender OR a.gender = 'unknown' OR b.gender = 'unknown') GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT book, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, a, b) AS k FROM p) WHERE k <= 25")
+@query("WITH " + _PEOPLE + r", s AS (SELECT DISTINCT book, id, gender, substring(t, 1, 5) AS stem FROM (SELECT book, id, gender, unnest(regexp_extract_all(lower(name), '[а-яёa-z]{5,}')) AS t FROM people)), p AS (SELECT a.book, a.id AS a, b.id AS b, count(*) AS score FROM s a JOIN s b ON a.book = b.book AND a.stem = b.stem AND a.id < b.id AND (a.gender = b.gender OR a.gender = 'unknown' OR b.gender = 'unknown') GROUP BY 1, 2, 3 HAVING count(*) >= 2) SELECT book, a, b, score FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY score DESC, a, b) AS k FROM p) WHERE k <= 25")
 def duplicate_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that share name stems, the best 25 of each book."""
+    """Pairs that share name stems, the best 25 of each book."""
     return registry.duplicate_candidates(_people(spark, sf_dir))
 
 
@@ -258,7 +291,12 @@ def recovered_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.recover(V.table(spark, sf_dir, "events").select("event_id", status.alias("status"), F.lit(None).cast("string").alias("error")))
 
 
-@query()
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*)$', 1), '(?is)<(nav|script|style)\b.*?</(nav|script|style)>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+m AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '(?i)<(div|h1|p)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'), '(?i)</(?:div|h1|p)>', chr(3), 'g'), chr(1)) AS s FROM b),
+q AS (SELECT page_id, unnest(s[2:]) AS x, generate_subscripts(s[2:], 1) AS k FROM m),
+r AS (SELECT page_id, k, split_part(x, chr(2), 1) = 'h1' AS head, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(split_part(split_part(x, chr(2), 2), chr(3), 1), '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM q),
+w AS (SELECT *, count(*) FILTER (head) OVER o AS sec, last_value(CASE WHEN head THEN t END IGNORE NULLS) OVER o AS title FROM r WHERE t <> '' WINDOW o AS (PARTITION BY page_id ORDER BY k))
+SELECT page_id, dense_rank() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS section, coalesce(title, '') AS title, row_number() OVER (PARTITION BY page_id, sec ORDER BY k) - 1 AS paragraph, t AS text FROM w WHERE NOT head""")
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages cut at headings."""
     return books.page_sections(V.table(spark, sf_dir, "pages"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from storyloom.tables import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,7 +45,7 @@ def speaking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The script's segments with type and speaker from the remarks."""
     from storyloom.operators.attribution import apply_tags, tag_speakers
 
-    x = spans(spark, sf_dir)
+    x = stored(spans(spark, sf_dir), "spans")
     return apply_tags(x, tag_speakers(x, cast_list(spark)))
 
 

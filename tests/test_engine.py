@@ -1,14 +1,17 @@
 """The script engine against literal rows and against SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import text as X
 from storyloom.operators import casting, chapters, plan, registry, segment
-from storyloom.plans import production  # noqa: F401  (registers its queries)
+from storyloom.plans import fixtures, production  # noqa: F401  (register their queries)
 from storyloom.plans.queries import ORACLES, QUERIES
 from storyloom.sources import books
+from storyloom.tables import Workspace, running
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -80,13 +83,13 @@ def test_chapters(spark):
     lines = ["x" * 250, "Part One", "Chapter 1", "first", "2", "second", "Chapter 3"]
     df = spark.createDataFrame([("b", i, t) for i, t in enumerate(lines)], "book string, paragraph int, text string")
     got = [(r["chapter"], r["title"], r["text"][:6]) for r in chapters.heading_chapters(df).orderBy("paragraph").collect()]
-    assert got == [(1, "", "xxxxxx"), (2, "Part One. Chapter 1", "first"), (3, "Part One. Chapter 2", "second")]
+    assert got == [(1, "Chapter 1", "xxxxxx"), (2, "Part One. Chapter 1", "first"), (3, "Part One. Chapter 2", "second")]
 
 
 def test_fold(spark):
     rows = [("b", 1, "anna", "Anna", "female"), ("b", 2, "anna", "Anna Karenina", "unknown"), ("b", 3, "x", "anna karenina", "female"), ("b", 4, "anna", "Anna", "male"), ("c", 1, "anna", "Anna", "male")]
     got = registry.observe(spark.createDataFrame(rows, "book string, ord long, id string, name string, gender string")).orderBy("book", "id").collect()
-    assert [(r["book"], r["id"], r["seen"], r["aliases"]) for r in got] == [("b", "anna", 3, ["Anna Karenina"]), ("b", "anna_2", 1, []), ("c", "anna", 1, [])]
+    assert [(r["book"], r["id"], r["name"], r["seen"], r["aliases"]) for r in got] == [("b", "anna", "Anna Karenina", 3, ["Anna"]), ("b", "anna_2", "Anna", 1, []), ("c", "anna", "Anna", 1, [])]
 
 
 def test_cast_spreads_voices(spark):
@@ -109,10 +112,70 @@ def test_text_source(spark):
 
 def test_fb2(spark):
     xml = b"<?xml version='1.0'?><FictionBook><body><section><title><p>Part.</p></title><section><title><p>One</p></title><p>text</p></section></section></body><body name='notes'><section><p>no</p></section></body></FictionBook>"
-    rows = [("a.fb2", bytearray(xml)), ("b.fb2", bytearray(b"<broken"))]
+    rows = [("a.fb2", bytearray(xml)), ("b.fb2", bytearray(b"broken"))]
     got = books.parse_books(spark.createDataFrame(rows, "path string, content binary")).orderBy("path").collect()
-    assert [(r["chapter"], r["title"], r["text"]) for r in got] == [(1, "Part. One", "text"), (0, "unreadable: ParseError", None)]
+    assert [(r["chapter"], r["title"], r["text"]) for r in got] == [(1, "Part. One", "text"), (0, "unreadable: ValueError", None)]
 
 
 def test_html():
     assert books.html_sections("<h1>A</h1><h2>B</h2><script>x</script><p>one <b>two</b></p><h1>C</h1>") == [("A. B", ["one two"])]
+    assert books.html_sections("<h1>A</h1><div>hello</div><p>x</p>") == [("A", ["hello", "x"])]
+    assert books.html_sections("<div><p>in</p>lost</div><ul><li>1<li>2</ul><p>a<p>b") == [("", ["in", "1", "2", "a", "b"])]
+
+
+def test_parts_across_blocks(spark):
+    """Parts do not depend on how rows are dealt to blocks."""
+    rng = random.Random(3)
+    rows = [(b, i, "x" * rng.choice([0, 1, 5, 30, 120])) for b in ("p", "q", "r") for i in range(400 if b != "r" else 1)]
+    want = {}
+    for book in ("p", "q", "r"):
+        part, held = 1, None
+        for b, i, t in rows:
+            if b == book:
+                if held is not None and held + len(t) > 100:
+                    part, held = part + 1, 0
+                want[b, i] = part
+                held = (held or 0) + len(t)
+    df = spark.createDataFrame(rows, "book string, paragraph long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r["book"], r["paragraph"]): r["part"] for r in segment.pack_chapters(df, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == want
+
+
+def test_running_values_across_blocks(spark):
+    rows = [("a" if i % 3 else "b", i, i % 5 if i % 7 == 0 else None) for i in range(300)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = running(spark.createDataFrame(rows, "g string, i int, v int"), ["g"], ["i"], {"n": F.lit(1)}, {"last": F.col("v")}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    n, last, want = {}, {}, {}
+    for g, i, v in rows:
+        n[g] = n.get(g, 0) + 1
+        last[g] = v if v is not None else last.get(g)
+        want[g, i] = (n[g], last[g])
+    assert {(r["g"], r["i"]): (r["n"], r["last"]) for r in got} == want
+
+
+def test_tables_are_replaced_whole(spark, tmp_path):
+    t = Workspace(spark, str(tmp_path))
+    assert t.read("x", "id int").count() == 0 and not t.exists("x")
+    with pytest.raises(LookupError):
+        t.read("x")
+    t.write("x", spark.range(3))
+    before = t.read("x")
+    t.write("x", t.read("x").filter("id > 0"))
+    assert before.count() == 3 and t.read("x").count() == 2
+
+
+def test_paths(spark, tmp_path):
+    (tmp_path / "a.docx").write_text("x")
+    (tmp_path / "b.txt").write_text("x")
+    assert books.validate_paths(spark, [str(tmp_path / "b.txt")])
+    with pytest.raises(ValueError, match="unsupported type"):
+        books.validate_paths(spark, [str(tmp_path / "a.docx")])
+    with pytest.raises(FileNotFoundError):
+        books.validate_paths(spark, [str(tmp_path / "c.txt")])
