@@ -218,8 +218,10 @@ def contracted(found: DataFrame | None, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bands: int = 32, per_band: int = 4) -> DataFrame:
     """One row per row of docs: _rid, _id, n_shingles, component (the _rid of its component's first row) and kept.
 
-    Texts without words (null, empty) have no shingles and are linked with nothing; rows with equal sets are linked;
-    repeated ids are rows of their own, in order; an empty table gives no rows.
+    Texts without words (null, empty) have no shingles and are linked with nothing; rows with equal sets are linked; very
+    long texts give long sets, which are compared whole. Null ids rank first and repeated ids are rows of their own, in the
+    order of a hash of their texts; the first row of a component stays; an empty table gives no rows; only the two named
+    columns are read.
     """
     return link(keyed(docs, id_col, text_col), shingle, similarity, bands, per_band)
 
@@ -233,9 +235,10 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     firsts = signed.join(classes.select(F.col("first").alias(RID)), RID, "left_semi")
     dealt = firsts.select(RID, "n", F.explode("bands").alias("key"))
     several = stored(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "buckets")  # joins of plain exchanges can split a hot key
-    busy = stored(dealt.join(several, "key").groupBy(RID, "n").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("meets")), "busy")
+    busy = dealt.join(several, "key").groupBy(RID, "n").agg(F.collect_list("key").alias("keys"), F.sum("m").alias("meets"))
+    busy = stored(busy.join(signed.select(RID, "low"), RID), "busy")
     sets = stored(full_sets(rows.join(busy.select(RID), RID, "left_semi"), shingle), "sets")
-    low = signed.select(RID, "low")
+    low = busy.select(RID, "low")
     least = similarity - 6 * (similarity * (1 - similarity) / (bands * per_band)) ** 0.5
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ def link(rows: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int
     found = contracted(None, linked(stars(busy.select(RID, "n", "meets", F.explode("keys").alias("key"), F.col(RID).alias("component")), F.lit(0))))
     draw, more = 0, None
     while True:
-        inside = busy.join(found.select(F.col("node").alias(RID), "component"), RID, "left").withColumn("component", F.coalesce("component", RID))
+        inside = busy.drop("low").join(found.select(F.col("node").alias(RID), "component"), RID, "left").withColumn("component", F.coalesce("component", RID))
         inside = stored(inside, "placed").select(RID, "n", "meets", "component", F.explode("keys").alias("key"))
         split = inside.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         split = stored(split.select("key"), "split_keys")
