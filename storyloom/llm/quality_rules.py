@@ -162,12 +162,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null and empty texts have zero words and fail the base test; very long texts are judged whole; ids may be null or
     repeat, each row is judged alone, so equal rows get equal verdicts; an empty table gives no rows; only the two named
-    columns are read, so other columns may have any name. The rules' order is estimated on up to `sample_rows` rows of up
-    to `sample_text_bytes` bytes, drawn by a hash; it changes the cost, not the verdict.
+    columns are read, so other columns may have any name. The rules' order is estimated on about `sample_rows` rows (twice
+    as many at most) of up to `sample_text_bytes` bytes, drawn by a hash; it changes the cost, not the verdict.
     """
     rows = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
-    drawn = F.xxhash64(ID, TEXT)
-    sample = rows.filter(F.octet_length(TEXT) <= sample_text_bytes).select(drawn.alias("i"), F.col(TEXT).alias("t"), F.lit(0).alias("y")).orderBy("i").limit(sample_rows)
+    drawn, every = F.xxhash64(ID, TEXT), max(1, rows.count() // sample_rows)
+    sample = rows.filter((F.pmod(drawn, F.lit(every)) == 0) & (F.octet_length(TEXT) <= sample_text_bytes)).select(drawn.alias("i"), F.col(TEXT).alias("t"), F.lit(0).alias("y")).limit(2 * sample_rows)
     by_name = {r.name: r for r in rules}
     best = tuple(by_name[n] for n in fitted(sample, lambda pairs: ordered([t for t, _ in pairs], rules)))
     schema = f"{ID} {rows.schema[ID].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean"

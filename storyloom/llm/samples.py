@@ -21,7 +21,11 @@ def labelled(docs: DataFrame, labels: DataFrame | None, label_col: str, train, m
     list of them is then joined with docs, so a text moves only if it was drawn.
     """
     table = (docs if labels is None else labels).select(F.col(id_col).alias("i"), F.col(label_col).alias("y"))
-    drawn = table.filter(train(F.col("i")) & F.col("y").isNotNull() & F.col("i").isNotNull()).groupBy("i").agg(F.max("y").alias("y")).orderBy(F.xxhash64("i"), "i").limit(most)
+    table = table.filter(train(F.col("i")) & F.col("y").isNotNull() & F.col("i").isNotNull()).groupBy("i").agg(F.max("y").alias("y"))
+    n, hash_ = table.count(), F.xxhash64("i")
+    # Rows whose hash is far beyond the sample's last cannot be drawn, so they are not sorted.
+    share = min(1.0, (most + 10 * most**0.5 + 100) / max(1, n))
+    drawn = table.filter(hash_ <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).orderBy(hash_, "i").limit(most)
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).filter(F.octet_length("t") <= text_bytes)
     return rows.join(F.broadcast(drawn), "i").groupBy("i").agg(F.first("t").alias("t"), F.first("y").alias("y"))
 
