@@ -5,7 +5,8 @@ weights and transitions between the languages of neighbouring words are learned
 from runs of words of labelled texts. Forward-backward gives each word's probabilities, over the whole text; the mean
 over the words is the text's.
 
-All texts of a slice step together, the longest first, so a step is one small matrix product.
+All texts of a slice step together, cut into blocks, so a step is one matrix product and a very long text takes no more
+steps than others.
 """
 
 from __future__ import annotations
@@ -69,37 +70,71 @@ def emissions(features: np.ndarray, counts: np.ndarray, weights: np.ndarray) ->
     return np.add.reduceat(weights[features], np.cumsum(counts) - counts, axis=0) if len(counts) else np.zeros((0, weights.shape[1]), weights.dtype)
 
 
-def marginals(emission: np.ndarray, bounds: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Words of a block of a sequence.
+BLOCK = 128
+
+
+def marginals(emission: np.ndarray, bounds: np.ndarray, transition: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over sequences that lie one after the other: each word's probabilities, and the expected number
-    of transitions between languages."""
+    of transitions between languages.
+
+    Sequences are cut into blocks, and all blocks step together, so a long sequence takes no more steps than a short one:
+    first each block's words are multiplied into one matrix, then the states at the blocks' edges are carried from block
+    to block, then every block is walked from its edges. That is exact, as the products are associative.
+    """
     n, labels = emission.shape
+    expected = np.zeros((labels, labels))
+    out = np.empty_like(emission)
+    if not n:
+        return out, expected
     step = np.exp(transition - transition.max())
-    local = np.exp(emission - emission.max(axis=1, keepdims=True)) if n else emission
-    lengths = np.diff(bounds)
+    local = np.exp(emission - emission.max(axis=1, keepdims=True))
+    sizes = np.diff(bounds)
+    pieces = -(-sizes // block)
+    of = np.repeat(np.arange(len(sizes)), pieces)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    starts = bounds[:-1][of] + number * block
+    lengths = np.minimum(block, sizes[of] - number * block)
     order = np.argsort(-lengths, kind="stable")
-    starts, lengths = bounds[:-1][order], lengths[order]
-    alpha = np.empty((n, labels), local.dtype)
-    left = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
-    for t, k in enumerate(left.tolist()):
-        x = local[starts[:k] + t]
-        if t:
-            x = x * (a[:k] @ step)
-        a = x / x.sum(axis=1, keepdims=True)
-        alpha[starts[:k] + t] = a
-    out = np.empty_like(alpha)
-    expected = np.zeros((labels, labels))
-    beta = np.ones((len(lengths), labels), local.dtype)
+    left = np.searchsorted(-lengths[order], -np.arange(int(lengths.max())), "left").tolist()  # how many blocks have a word t
+    begins = np.zeros(n, bool)
+    begins[bounds[:-1][sizes > 0]] = True
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return x / x.sum(axis=-1, keepdims=True)
+
+    # A block's matrix; the first word of a sequence forgets what came before.
+    whole = np.broadcast_to(np.eye(labels, dtype=local.dtype), (len(of), labels, labels)).copy()
+    if pieces.max() > 1:
+        for t, k in enumerate(left):
+            at = starts[order[:k]] + t
+            x = np.where(begins[at][:, None, None], whole[order[:k]].sum(axis=2, keepdims=True), whole[order[:k]] @ step) * local[at][:, None, :]
+            whole[order[:k]] = x / x.max(axis=(1, 2), keepdims=True)
+    ahead = np.full((len(of), labels), 1 / labels, local.dtype)  # the state before each block
+    behind = np.ones((len(of), labels), local.dtype)  # and behind it
+    first = np.cumsum(pieces) - pieces
+    for k in range(1, int(pieces.max())):
+        at = first[pieces > k] + k
+        ahead[at] = scaled((ahead[at - 1][:, None, :] @ whole[at - 1])[:, 0])
+    for k in range(int(pieces.max()) - 1, 0, -1):
+        at = first[pieces > k] + k
+        behind[at - 1] = scaled((whole[at] @ behind[at][:, :, None])[:, :, 0])
+    alpha = np.empty_like(local)
+    a = ahead[order]
+    for t, k in enumerate(left):
+        at = starts[order[:k]] + t
+        a = scaled(np.where(begins[at][:, None], 1, a[:k] @ step) * local[at])
+        alpha[at] = a
+    b = behind[order]
     for t in range(len(left) - 1, -1, -1):
-        k = int(left[t])
-        at = starts[:k] + t
-        if t + 1 < len(left) and (m := int(left[t + 1])):
-            ahead = local[starts[:m] + t + 1] * beta[:m]
-            pair_scale = ((alpha[starts[:m] + t] @ step) * ahead).sum(axis=1, keepdims=True)
-            expected += step * (alpha[starts[:m] + t].T @ (ahead / pair_scale))
-            b = ahead @ step.T
-            beta[:m] = b / b.sum(axis=1, keepdims=True)
-        p = alpha[at] * beta[:k]
-        out[at] = p / p.sum(axis=1, keepdims=True)
+        k = left[t]
+        at = starts[order[:k]] + t
+        out[at] = scaled(alpha[at] * b[:k])
+        x = local[at] * b[:k]
+        inner = ~begins[at]
+        before, later = alpha[at[inner] - 1], x[inner]
+        expected += step * (before.T @ (later / ((before @ step) * later).sum(axis=1, keepdims=True)))
+        b[:k] = scaled(x @ step.T)
     return out, expected
 
 
@@ -210,8 +245,9 @@ def train(docs: DataFrame, label_col: str = "lang", held_out=None, most: int = 8
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: _id, lang_pred and score (0 to 1).
 
-    Null texts and texts without a letter are `und` with score 0, as is every text if nothing could be learned; each row
-    is judged alone, so null or repeated ids do no harm; an empty table gives no rows.
+    Null texts and texts without a letter are `und` with score 0, as is every text if nothing could be learned; very long
+    texts are read whole. Each row is judged alone, so null or repeated ids do no harm and equal rows get equal answers; of
+    languages with equal means the first by name is taken; an empty table gives no rows. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
     shared = rows.sparkSession.sparkContext.broadcast(model)

@@ -87,8 +87,9 @@ def test_word_repeats(plain, texts):
 @pytest.mark.parametrize("width", [1, 5, 41])
 def test_winnow(width):
     for top in (3, 1 << 60):
-        h = np.random.default_rng(width).integers(0, top, 300).astype(T.U)
-        assert anchors.winnow(h, width).tolist() == [i + width - 1 - int(np.argmin(h[i : i + width][::-1])) for i in range(300 - width + 1)]
+        h = np.random.default_rng(width).integers(0, top, 300).astype(T.U) << T.U(anchors.PLACE if top == 3 else 0)
+        upper = h >> T.U(anchors.PLACE)
+        assert anchors.winnow(h, width).tolist() == [i + width - 1 - int(np.argmin(upper[i : i + width][::-1])) for i in range(300 - width + 1)]
 
 
 @pytest.mark.parametrize("shingle", [4, 5])
@@ -211,10 +212,11 @@ def test_pack(messy):
         assert sum(n for _, n in v) <= 64 and [a for a, _ in sorted(v)] == np.cumsum([0, *[n for _, n in sorted(v)][:-1]]).tolist()
 
 
-def test_forward_backward():
+@pytest.mark.parametrize("block", [1, 2, 3, 128])
+def test_forward_backward(block):
     rng = np.random.default_rng(1)
     e, t = rng.normal(size=(9, 3)), rng.normal(size=(3, 3))
-    got, pairs = language.marginals(e, np.array([0, 4, 4, 9]), t)
+    got, pairs = language.marginals(e, np.array([0, 4, 4, 9]), t, block)
     expected = np.zeros((3, 3))
     for a, b in ((0, 4), (4, 9)):
         total, p = 0.0, np.zeros((b - a, 3))
@@ -231,6 +233,15 @@ def test_forward_backward():
     assert np.allclose(pairs, expected)
 
 
+def test_blocks_do_not_change_probabilities():
+    rng = np.random.default_rng(2)
+    bounds = np.array([0, 1, 1, 700, 702, 5000])
+    e, t = (20 * rng.normal(size=(5000, 4))).astype(np.float32), (5 * rng.normal(size=(4, 4))).astype(np.float32)
+    a, x = language.marginals(e, bounds, t, 10_000)
+    b, y = language.marginals(e, bounds, t)
+    assert np.isfinite(b).all() and np.allclose(a, b, atol=1e-4) and np.allclose(x, y, rtol=1e-3, atol=1e-3)
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lambda i: F.pmod(F.crc32(i.cast("string")), F.lit(4)) == 2
