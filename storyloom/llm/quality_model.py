@@ -46,6 +46,8 @@ def shapes(w: T.Words) -> np.ndarray:
     again[2:] |= 2 * (w.hashes[2:] == w.hashes[:-2])
     first = w.bounds[:-1][w.bounds[:-1] < len(out)]
     again[first] = 0
+    second = first[w.bounds[1:][w.bounds[:-1] < len(out)] - first > 1] + 1
+    again[second] &= 1  # the word two before it is another text's
     return out * 4 + again
 
 
@@ -150,8 +152,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", held_o
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: _id, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5).
 
-    Null and empty texts have no indicator and get the score of the constant; each row is scored alone, so null or
-    repeated ids do no harm; an empty table gives no rows.
+    Null and empty texts have no indicator and get the score of the constant; very long texts are read whole, in memory of
+    their size. Each row is scored alone, so null or repeated ids do no harm and equal rows have equal scores; a score of
+    exactly 0.5 counts as 1; an empty table gives no rows. Other columns are not read, so they may have any name.
     """
     rows = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
     shared = rows.sparkSession.sparkContext.broadcast(model)
