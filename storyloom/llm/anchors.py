@@ -7,36 +7,26 @@ import numpy as np
 from storyloom.llm import textkit as T
 
 
+#: Low bits of a key that hold a place; the bits above are the hash's.
+PLACE = 34
+
+
 def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` consecutive hashes, the position of its smallest one (of equals, the last)."""
+    """For each window of `width` consecutive hashes, the position of the one that is smallest in its upper 30 bits (of
+    equals, the last). Hash and place are one key, and windows of 1, 2, 4, ... keys are joined to the width."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    # Blocks of `width`: the minimum of a window is that of a suffix of one block and a prefix of the next.
-    total = -(-len(hashes) // width) * width
-    top = np.iinfo(T.U).max
-    padded = np.full(total, top, T.U)
-    padded[: len(hashes)] = hashes
-    blocks = padded.reshape(-1, width)
-    at = np.arange(total).reshape(-1, width)
-    prefix = np.minimum.accumulate(blocks, axis=1)
-    suffix = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
-    last = np.maximum.accumulate(np.where(blocks == prefix, at, 0), axis=1).reshape(-1)
-    own = np.where(blocks == suffix, at, 0)
-    behind = own.copy()
-    # The last position of the suffix minimum: the nearest later one that equals it.
-    for k in range(width - 2, -1, -1):
-        same = suffix[:, k] == suffix[:, k + 1]
-        behind[:, k] = np.where(same, behind[:, k + 1], own[:, k])
-    prefix, suffix, behind = prefix.reshape(-1), suffix.reshape(-1), behind.reshape(-1)
-    i, j = np.arange(n), np.arange(n) + width - 1
-    return np.where(prefix[j] <= suffix[i], last[j], behind[i])
-
-
-def owned(hashes: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts given as hashes of words or bytes, one text after the other: hash, position, and the first and
-    last start of the windows of `window` items that chose the anchor (each window chooses one)."""
-    grams = T.windows(hashes, gram)
+    mask = T.U((1 << PLACE) - 1)
+    key, size = (hashes & ~mask) | (mask - np.arange(len(hashes), dtype=T.U)), 1
+    while 2 * size <= width:
+        key, size = np.minimum(key[:-size], key[size:]), 2 * size
+    return (mask - (np.minimum(key[:n], key[width - size :][:n]) & mask)).astype(np.int64)
+
+
+def owned(grams: np.ndarray, bounds: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of texts given as hashes of runs of `gram` words or bytes, one text after the other: hash, position, and the
+    first and last start of the windows of `window` items that chose the anchor (each window chooses one)."""
     width = window - gram + 1
     chosen = winnow(grams, width)
     n = np.maximum(0, np.diff(bounds) - window + 1)

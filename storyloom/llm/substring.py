@@ -44,7 +44,7 @@ def seeds(rows: DataFrame, gram: int, window: int) -> DataFrame:
             raw, s, e, _ = T.text_bytes(batch.column(1))
             for i, j in T.slices(s, e, T.SLICE // 2):
                 w = T.words(raw, s[i:j], e[i:j])
-                hashes, at, first, last = owned(w.hashes, w.bounds, gram, window)
+                hashes, at, first, last = owned(T.windows(w.hashes, gram), w.bounds, gram, window)
                 context = T.span_keys(w.hashes, first, last + window) ^ T.mix((at - first).astype(T.U))
                 bounds = np.searchsorted(at, w.bounds)
                 base = w.bounds[np.searchsorted(w.bounds, at, "right") - 1]
@@ -192,7 +192,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: _rid, _id, n_words, n_removed, kept_sha256 (kept words joined by one space).
 
     A word goes if it lies in a window of `window` words that a row with a smaller id has too. Null and empty texts have
-    no words; repeated ids are rows of their own, in order; an empty table gives no rows.
+    no words; very long texts are read whole. Null ids rank first and repeated ids are rows of their own, in the order of a
+    hash of their texts; of equal rows the first keeps its words; an empty table gives no rows; only the two named columns
+    are read.
     """
     rows = keyed(docs, id_col, text_col)
     found = stored(seeds(rows, gram, window), "seeds")

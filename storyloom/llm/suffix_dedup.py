@@ -40,8 +40,7 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, gram: int, length: int) -> li
         steps = [(a, min(len(data), a + STEP + length - 1)) for a in range(0, len(data) - length + 1, STEP)]
     out = []
     for a, b in steps:
-        code = T.CODE[data[a:b]]
-        h, at, first, last = owned(code, bounds if len(steps) == 1 else np.array([0, b - a]), gram, length)
+        h, at, first, last = owned(T.byte_windows(data[a:b], gram), bounds if len(steps) == 1 else np.array([0, b - a]), gram, length)
         out.append([h, T.span_hashes(data[a:b], first, last + length) ^ T.mix((at - first).astype(T.U)), first + a, last + 1 - first])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
@@ -164,8 +163,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: _rid, _id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of `length` bytes over it starts anywhere else too, the same text included. Null texts are
-    empty; repeated ids are rows of their own, so a repeated row is removed whole if it has `length` bytes; an empty
-    table gives no rows. crowded: anchors with more distinct regions are dealt by window; that
+    empty; very long texts are read in steps and cut into regions; null and repeated ids are rows of their own, so a repeated
+    row is removed whole if it has `length` bytes, and no occurrence is preferred; an empty table gives no rows; only the two
+    named columns are read. crowded: anchors with more distinct regions are dealt by window; that
     many regions are up to 3 MB, which the sort takes in about 200 MB of memory.
     """
     rows = keyed(docs, id_col, text_col)

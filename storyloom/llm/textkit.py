@@ -107,6 +107,20 @@ def windows(values: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
+def byte_windows(data: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of `width` consecutive bytes; eight bytes are one value where the width is 8, 16, 32, ..."""
+    words = width // 8
+    if width % 8 or words & (words - 1):
+        return windows(CODE[data], width)
+    if len(data) < width:
+        return np.zeros(0, U)
+    eight = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
+    level, size = (eight ^ (eight >> U(32))) * U(0x94D049BB133111EB), 8
+    while size < width:
+        level, size = _pair(level[:-size], level[size:]), 2 * size
+    return mix(level)
+
+
 def release() -> None:
     """Gives memory of earlier batches back to the system, as Python workers live on from stage to stage."""
     pa.default_memory_pool().release_unused()
