@@ -69,8 +69,8 @@ def identities(rows: DataFrame, block_bytes: int = 4096, block_hash=_block_hash)
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096, block_hash=_block_hash) -> DataFrame:
     """One row per row of docs: _rid, _id, keep_id, group_size, kept, text_sha256.
 
-    Null text counts as empty; all empty texts are one group. Of equal texts the row with the largest id stays; of
-    repeated ids one row stays; null ids rank below all others. An empty table gives no rows. Only the two named columns
+    Null text counts as empty; all empty texts are one group; very long texts are cut into blocks like others. Of equal texts
+    the row with the largest id stays; of repeated ids one row stays; null ids rank below all others. An empty table gives no rows. Only the two named columns
     are read, so other columns may have any name.
     """
     return decide(keyed(docs, id_col, text_col), block_bytes, block_hash)
@@ -91,5 +91,5 @@ def decide(rows: DataFrame, block_bytes: int = 4096, block_hash=_block_hash) ->
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one of equal texts, with its columns."""
+    """docs without all but one of equal texts, with its columns, whatever their names; null and empty texts are equal."""
     return kept_rows(docs, lambda rows: decide(rows).filter("kept").select(RID), id_col, text_col)

@@ -97,15 +97,18 @@ def rounds(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), total_share: float = 1.5, most: float = 2.0, leaf_rows: int = 4096, fan_in: int = 64, seed: int = 7) -> DataFrame:
     """One row per row of docs: _rid, _id, source, size, source_size, target, copies, taken (copies * size).
 
-    Null text has size 0; null is a source of its own, after all others; a source without words has target 0; rows may
-    repeat, each is a document of its own; an empty table gives no rows. The draw depends on the ids and the seed alone.
+    Null text has size 0; null is a source of its own, after all others; a source without words has target 0; very long
+    texts are counted whole. Rows may repeat and ids may be null, each row is a document of its own; documents of equal size
+    meet in the order of a hash of their keys; an empty table gives no rows. The draw depends on the ids and the seed alone
+    (where ids repeat, also on the texts). Only the three named columns are read.
     """
     kept = keyed(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.col(source_col).cast("string").alias("source")), "_i", "_t", ("source",))
     return mix_rows(kept, weights, total_share, most, leaf_rows, fan_in, seed)
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """docs with each row as often as the mix takes it, with its columns."""
+    """docs with each row as often as the mix takes it, with its columns, whatever their names; rows without words are
+    drawn like all others."""
     rows, back = with_own(docs, id_col, text_col, (F.col(source_col).cast("string").alias("source"),))
     taken = mix_rows(rows, **how).filter("copies > 0").select(RID, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return rows.join(taken, RID).select(*back)

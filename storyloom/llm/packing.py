@@ -122,7 +122,7 @@ def pieces(rows: DataFrame, ranks_path: str, window: int = 1024, end_id: int = 0
                 if exact_path is None or "<|" not in text:
                     try:
                         ids = fast.encode_ordinary(text)
-                    except Exception:
+                    except (ValueError, RuntimeError):  # the fast library refuses some texts
                         if exact_path is None:
                             raise
                 if ids is None:
@@ -162,8 +162,10 @@ def ranked(parts: DataFrame, rows_per_group: int = 4096) -> DataFrame:
 def pack(docs: DataFrame, ranks_path: str, exact_path: str | None = None, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: _id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each document is its ids and then end_id; null and empty texts are the end alone. Sequences are gapless from offset
-    0. Null and repeated ids and equal rows are packed like all others, each row apart. An empty table gives no rows.
+    Each document is its ids and then end_id; null and empty texts are the end alone; very long texts are cut into full
+    windows and a rest. Sequences are gapless from offset 0. Null and repeated ids and equal rows are packed like all others,
+    each row apart; pieces of equal length go by a hash of their keys. An empty table gives no rows. Only the two named
+    columns are read.
     """
     rows = docs.select(F.col(id_col).alias(ID), F.col(text_col).cast("string").alias(TEXT))
     parts = stored(pieces(rows, ranks_path, window, end_id, exact_path), "pieces")

@@ -325,8 +325,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: _id, score (0 to 1) and predicted (1 if score >= 0.5); carry: more columns of docs.
 
-    Null and empty texts have no match and get the score of a clean text; each row is scored alone, so null or repeated
-    ids do no harm; an empty table gives no rows.
+    Null and empty texts have no match and get the score of a clean text; very long texts are read whole, clause by clause.
+    Each row is scored alone, so null or repeated ids do no harm and equal rows have equal scores; a score of exactly 0.5
+    counts as toxic; an empty table gives no rows. Columns of docs that are not carried may have any name.
     """
     rows = docs.select(F.col(text_col).cast("string").alias(TEXT), F.col(id_col).alias(ID), *(F.col(f"`{c}`") for c in carry))
     kept = [f for f in rows.schema.fields if f.name != TEXT]
@@ -345,7 +346,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that the model predicts to be toxic, with its columns and row for row."""
+    """docs without the rows that the model predicts to be toxic, with its columns and row for row: null and empty texts
+    stay, repeated rows stay or go together, an empty table stays empty, and columns may have any names."""
     columns = docs.columns
     plain = [f"c{k}" for k in range(len(columns))]
     renamed = docs.toDF(*plain)
